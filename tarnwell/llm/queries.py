@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash
+from . import decontam, minhash, toxicity
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
@@ -32,13 +32,19 @@ SELECT doc_id, item_id, CAST(n AS INTEGER) AS match_words, CAST(i AS BIGINT) AS
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model fitted on the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of near-duplicates."""
     return minhash.near_pairs(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_benchmark_decontamination, op7_toxicity, op8_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
