@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, toxicity
+from . import bpe, decontam, minhash, pii, toxicity
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
@@ -32,6 +32,17 @@ SELECT doc_id, item_id, CAST(n AS INTEGER) AS match_words, CAST(i AS BIGINT) AS
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of personal data and secrets."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.spans(docs, pii.fit(docs))
+
+
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again to see that they give the text."""
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, by a model fitted on the labels."""
     docs = _table(spark, sf_dir, "documents")
@@ -44,7 +55,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op7_toxicity, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_benchmark_decontamination, op5_pii, op6_byte_level_bpe, op7_toxicity, op8_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
