@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, pii, toxicity
+from . import bpe, chat, decontam, embed, html_text, licenses, minhash, pii, store, toxicity
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
@@ -15,6 +15,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript of every conversation."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = r"""
+WITH e AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS k FROM e)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
+  string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<' || chr(8203) || '|im_start|>'), '<|im_end|>', '<' || chr(8203) || '|im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS transcript
+FROM m WHERE k = 1 GROUP BY conv_id
+"""
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of every document, verified against the store that it was written to."""
+    return store.verify(spark, store.write(_table(spark, sf_dir, "documents")))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest verbatim match of each contaminated document with each benchmark item."""
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -54,9 +78,26 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in the documents."""
+    return licenses.spans(_table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near-duplicate embeddings."""
+    return embed.near_pairs(_table(spark, sf_dir, "embeddings")).select("vec_a", "vec_b")
+
+
+OP10_SQL = """
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op5_pii, op6_byte_level_bpe, op7_toxicity, op8_minhash_near_dedup)}
+    found = [op1_html_extraction, op2_chat_formatting, op3_token_store, op4_benchmark_decontamination, op5_pii, op6_byte_level_bpe, op7_toxicity, op8_minhash_near_dedup, op9_license_scan, op10_embedding_near_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_license_scan": licenses.oracle_sql(), "op10_embedding_near_dedup": OP10_SQL}
