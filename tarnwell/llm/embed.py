@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
 A vector of unit length is turned by several random rotations; the signs are its code x', and <x', x> its stored correction factor f.
-For another vector y, <x', y> / f is an unbiased estimate of <x, y>, with a standard error of sqrt(1 - f^2) / f / sqrt(bits) at most. A pair whose
-confidence interval lies above the threshold is accepted, one whose interval lies below is rejected, and only what lies
-across is recomputed from the vectors.
+For another vector y, <x', y> / f is an unbiased estimate of <x, y>, with a standard error of sqrt(1 - <x, y>^2) sqrt(1 - f^2) / f / sqrt(bits). A pair whose
+estimate lies above the confidence interval of a pair right at the threshold is accepted, one below it is rejected, and only what lies
+within is recomputed from the vectors.
 
 Candidates are pairs that agree in all bits of one of ``bands`` groups of bits. Two vectors of the threshold's angle agree in a bit with probability
 1 - angle / pi; with the default numbers, 0.90 of the pairs right at the threshold are met, and more than 0.99 of those of cosine 0.94 or
@@ -155,6 +155,7 @@ def _compare(p: Params):
             turned = x @ frame(int(dim), p).T / np.sqrt(np.float32(n / dim))
             factor, loss = part.column("factor").to_numpy().astype(float), part.column("loss").to_numpy().astype(float)
             error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, n - n // int(dim)))
+            across = np.sqrt(max(0.0, 1 - p.threshold**2))
             for i, j in part_pairs(own_size, PAIRS_AT_ONCE):
                 ok = ((side[i] != side[j]) | ~crossing[i]) & (ids[i] != ids[j])
                 i, j = i[ok], j[ok]
@@ -166,7 +167,8 @@ def _compare(p: Params):
                 one = np.einsum("ij,ij->i", signs[i], turned[j]) / factor[i]
                 two = np.einsum("ij,ij->i", signs[j], turned[i]) / factor[j]
                 estimate = (one + two) / 2
-                bound = p.confidence * np.maximum(error[i], error[j]) + np.maximum(loss[j] / factor[i], loss[i] / factor[j])
+                # the error lies in y's part across x, which at the threshold is sqrt(1 - t^2) long; the interval is that of a pair right at the threshold
+                bound = p.confidence * across * np.maximum(error[i], error[j]) + np.maximum(loss[j] / factor[i], loss[i] / factor[j])
                 near = estimate + bound >= p.threshold
                 i, j, estimate, bound = i[near], j[near], estimate[near], bound[near]
                 lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
