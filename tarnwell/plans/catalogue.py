@@ -1,15 +1,542 @@
-"""The registered queries over the test tables, with their SQL."""
+"""The registered queries over the test tables, with their SQL where SQL can express them on whole tables.
+
+The corpus is ``documents`` (a chunk each) with the vectors of ``embeddings`` of the same id. A few literal queries stand for what users ask; vector
+queries are the embeddings of the benchmark's items.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import synonyms as S, text as X
+from ..functions.languages import fts_config_of
+from ..operators import cleaning, evaluate, fusion, legs
+from ..operators.chunker import Chunker, chunk_frame
+from ..operators.rerank import token_overlap
+from ..sources.providers import HashEmbedder, stop_word_sets
+from ..sources.shared import shared_folder
+from ..sources.store import DocumentStore
+from ..streaming import ingest
+from .search import SearchOptions, search
+
+Query = Callable[[SparkSession, str], DataFrame]
+TENANT = "00000000-0000-0000-0000-000000000001"
+ASKED = ((1, "the hand of there"), (2, "released under the license"), (3, "ering and thention"), (4, "apache license version"), (5, "token with in"), (6, "der die und"), (7, "les que pour"), (8, "worthless"))
+STOP = ("the", "of", "and", "in", "der", "die", "und", "les", "que")
+SYNONYMS = (("en", "license", '["permit", "licence"]', "two_way"), ("en", "hand", '["palm", 7, "Fist"]', "one_way"), ("de", "und", "not json", "two_way"), ("en", "token", '["key", "secret key"]', "two_way"))
+PLAIN = r"'[\p{L}\p{N}]+'"
+_ASKED_SQL = "q(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ")"
+
+_registry: dict[str, tuple[Query, str | None]] = {}
+
+
+def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _registry[name] = (f, sql)
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("text").alias("content_normalized"), F.col("lang").alias("language"), F.col("source").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.lit("{}").alias("metadata"), F.lit("simple").alias("config")
+    )
+    return docs.join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left") if vectors else docs
+
+
+def asked(spark: SparkSession, sf_dir: str | None = None, language: str = "en") -> DataFrame:
+    q = spark.createDataFrame(list(ASKED), "query_id int, text string").withColumn("language", F.lit(language))
+    return q if sf_dir is None else q.join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("query_id"), "embedding"), "query_id")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).withColumnRenamed("id", "query_id").join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+
+
+# vectors
+
+_COSINE = "round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+
+
+def _top(inner: str, k: int, leg: int) -> str:
+    return f"SELECT query_id, {leg} AS leg, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({inner})) WHERE rank <= {k}"
+
+
+@_register("vector_topk", _top(f"SELECT 0 AS query_id, d.vec_id AS id, {_COSINE} AS score FROM embeddings d, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {_COSINE} >= 0.1", 10, 0))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of one query."""
+    one = _vectors(spark, sf_dir).where("id = 0").select(F.lit(0).alias("query_id"), "embedding")
+    return legs.vector(_vectors(spark, sf_dir), one, 10, 0.1)
+
+
+@_register("vector_floor_filtered", _top(f"SELECT q.vec_id AS query_id, d.vec_id AS id, {_COSINE} AS score FROM embeddings d JOIN documents x ON x.doc_id = d.vec_id AND x.lang IN ('en', 'fr') AND x.source IN ('src0', 'src1', 'src2'), (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE {_COSINE} >= 0.2", 10, 0))
+def vector_floor_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters come before ranking."""
+    kept = legs.in_filters(corpus(spark, sf_dir, vectors=True), source_types=["src0", "src1", "src2"], languages=["en", "fr"])
+    return legs.vector_batch(kept, _items(spark, sf_dir), 10, 0.2)
+
+
+_BATCH = f"SELECT q.vec_id AS query_id, d.vec_id AS id, {_COSINE} AS score FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE {_COSINE} >= 0.1"
+
+
+@_register("vector_batch_topk", _top(_BATCH, 10, 0))
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every item."""
+    return legs.vector_batch(_vectors(spark, sf_dir), _items(spark, sf_dir), 10, 0.1)
+
+
+@_register("vector_probed_topk")
+def vector_probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by k-means cells: approximate."""
+    celled, centres = legs.cells(_vectors(spark, sf_dir), 16)
+    return legs.vector_probed(celled, centres, _items(spark, sf_dir), 10, 0.1, 10)
+
+
+# keywords
+
+_GRAMS = "[substr(' ' || {0} || ' ', i, 2) FOR i IN range(1, length({0}) + 2)]"
+_BIGRAM = f"""SELECT query_id, id, round(n / len(qb), 6) AS score FROM (
+  SELECT query_id, d.doc_id AS id, qb, len(list_intersect(qb, list_distinct({_GRAMS.format("d.text")}))) AS n FROM documents d,
+  (SELECT query_id, list_filter(list_distinct({_GRAMS.format("text")}), lambda g: NOT contains(g, ' ')) AS qb FROM q)
+) WHERE len(qb) > 0 AND n > 0 AND round(n / len(qb), 6) >= 0.35"""
+
+
+@_register("bigram_coverage_topk", f"WITH {_ASKED_SQL} " + _top(_BIGRAM, 20, 1))
+def bigram_coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legs.bigram(corpus(spark, sf_dir), asked(spark), 20)
+
+
+_TRI = f"list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN regexp_extract_all(lower({{0}}), {PLAIN})]))"
+
+
+@_register("trigram_set", f"SELECT p_partkey, array_to_string(list_sort({_TRI.replace('{0}', 'p_name')}), '|') AS grams FROM part")
+def trigram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(X.trigrams(F.col("p_name"))), "|").alias("grams"))
+
+
+_PART_ASKED = ((1, "blue ring"), (2, "small steel"), (3, "part 12"), (4, "widget"))
+_PARTS_SQL = "q(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _PART_ASKED) + ")"
+
+
+@_register(
+    "trigram_similarity_topk",
+    f"WITH {_PARTS_SQL} " + _top(f"SELECT query_id, p_partkey AS id, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM (SELECT query_id, p_partkey, {_TRI.replace('{0}', 'text')} AS a, {_TRI.replace('{0}', 'p_name')} AS b FROM part, q) WHERE len(list_intersect(a, b)) > 0", 20, 1),
+)
+def trigram_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.createDataFrame(list(_PART_ASKED), "query_id int, text string").select("query_id", X.trigrams(F.col("text")).alias("a"))
+    pairs = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.trigrams(F.col("p_name")).alias("b")).crossJoin(F.broadcast(q))
+    both = pairs.withColumn("n", F.size(F.array_intersect("a", "b"))).where("n > 0")
+    return legs.ranked(both.select("query_id", "id", (F.col("n") / F.size(F.array_union("a", "b"))).alias("score")), legs.KEYWORD, 20)
+
+
+_WORDSIM = f"""SELECT query_id, id, max(round(c / (len(a) + e - c), 6)) AS score FROM (
+  SELECT query_id, id, a, len(list_distinct(b[i:j])) AS e, len(list_intersect(a, list_distinct(b[i:j]))) AS c FROM (
+    SELECT *, unnest(range(i, len(b) + 1)) AS j FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM (
+      SELECT query_id, p_partkey AS id, {_TRI.replace('{0}', 'text')} AS a, flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN regexp_extract_all(lower(p_name), {PLAIN})]) AS b FROM part, q)))
+) GROUP BY ALL HAVING max(round(c / (len(a) + e - c), 6)) >= 0.2"""
+
+
+@_register("word_similarity_topk", f"WITH {_PARTS_SQL} " + _top(_WORDSIM, 20, 1))
+def word_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content_normalized"))
+    return legs.trigram(parts, spark.createDataFrame(list(_PART_ASKED), "query_id int, text string"), 20, 0.2)
+
+
+@_register("word_similarity_documents")
+def word_similarity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over whole documents; as SQL this takes all stretches of all texts, so a test compares it with brute force."""
+    return legs.trigram(corpus(spark, sf_dir), asked(spark), 20)
+
+
+# full text
+
+_TOK = f"tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), {PLAIN}) AS w FROM documents)"
+_TERMS = ("license", "hand", "the", "worthless")
+
+
+@_register("fts_single_term_simple", f"WITH {_TOK}, q(query_id, t) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TERMS)) + ") " + _top("SELECT query_id, doc_id AS id, round(0.1::DOUBLE * len(list_filter(w, lambda x: x = t)), 6) AS score FROM tok, q WHERE list_contains(w, t)", 50, 2))
+def fts_single_term_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.createDataFrame([(i, t, t, "simple") for i, t in enumerate(_TERMS)], "query_id int, text string, built string, config string")
+    return legs.tsvector(corpus(spark, sf_dir), q, 50)
+
+
+def _fts(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
+    q = asked(spark).select("query_id", "text", F.array_join(F.split("text", " "), " & ").alias("built"), F.lit("simple").alias("config"))
+    return legs.tsvector(corpus(spark, sf_dir), q, k)
+
+
+@_register("fts_and_simple", f"WITH {_TOK}, {_ASKED_SQL} SELECT query_id, doc_id AS id FROM tok, q WHERE list_has_all(w, string_split(text, ' '))")
+def fts_and_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that have all words."""
+    return _fts(spark, sf_dir, None).select("query_id", "id")
+
+
+@_register("fts_cover_density_topk")
+def fts_cover_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, 20)
+
+
+@_register("fts_stemmed_topk")
+def fts_stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With each document's and the query's own stemming."""
+    lookup = S.load({"language": a, "term": b, "synonyms": c, "direction": d} for a, b, c, d in SYNONYMS)
+    q = spark.createDataFrame([(i, t, S.fts_query(t, lookup), "english") for i, t in ASKED], "query_id int, text string, built string, config string")
+    return legs.tsvector(corpus(spark, sf_dir).withColumn("config", fts_config_of(F.col("language"))), q, 20)
+
+
+def _bm25_sql(where: str, queries: str = "q") -> str:
+    return f"""SELECT query_id, id, round(sum(s), 6) AS score FROM (
+    SELECT query_id, p.doc_id AS id, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len)) AS s
+    FROM (SELECT doc_id, t, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(w) AS l, unnest(w) AS t FROM tok WHERE {where}) GROUP BY ALL) p
+    JOIN (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS t FROM tok WHERE {where}) GROUP BY t) USING (t)
+    JOIN (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), {PLAIN})) AS t FROM {queries}) USING (t),
+    (SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM tok WHERE len(w) > 0 AND {where})
+  ) GROUP BY query_id, id HAVING round(sum(s), 6) > 0"""
+
+
+@_register("bm25_topk_simple", f"WITH {_TOK}, {_ASKED_SQL} " + _top(_bm25_sql("true"), 20, 2))
+def bm25_topk_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one group."""
+    return legs.bm25(corpus(spark, sf_dir).withColumn("language", F.lit("xx")), asked(spark, language="xx"), 20)
+
+
+@_register("bm25_language_group", f"WITH {_TOK}, {_ASKED_SQL} " + _top(_bm25_sql("lang = 'en'"), 20, 2))
+def bm25_language_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the documents of the query's language."""
+    return legs.bm25(corpus(spark, sf_dir), asked(spark), 20)
+
+
+@_register("bm25_benchmark_topk", f"WITH {_TOK}, qq AS (SELECT item_id AS query_id, text FROM benchmark) " + _top(_bm25_sql("lang = 'en'", "qq"), 10, 2))
+def bm25_benchmark_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts as queries."""
+    q = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("en").alias("language"))
+    return legs.bm25(corpus(spark, sf_dir), q, 10)
+
+
+@_register(
+    "posting_stats",
+    f"WITH {_TOK}, g AS (SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' ELSE 'simple' END AS grp, doc_id, w FROM tok WHERE len(w) > 0) "
+    "SELECT grp, count(*) AS n_docs, round(avg(len(w)), 6) AS avg_len, CAST(sum(len(w)) AS BIGINT) AS n_words, CAST(any_value(u) AS BIGINT) AS n_terms FROM g JOIN (SELECT grp, count(DISTINCT t) AS u FROM (SELECT grp, unnest(w) AS t FROM g) GROUP BY grp) USING (grp) GROUP BY grp",
+)
+def posting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = legs.tokenized(corpus(spark, sf_dir))
+    terms = toks.select("grp", F.explode("terms").alias("t")).groupBy("grp", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_terms"))
+    return toks.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("len"), 6).alias("avg_len")).join(terms, "grp")
+
+
+# fusion
+
+_LEGS = (
+    f"WITH {_TOK}, {_ASKED_SQL}, qv AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT query_id FROM q)), "
+    f"l0 AS ({_top(f'SELECT q.query_id, d.vec_id AS id, {_COSINE} AS score FROM embeddings d, qv q WHERE {_COSINE} >= 0.1', 20, 0)}), "
+    f"l1 AS ({_top(_BIGRAM, 20, 1)}), l2 AS ({_top(_bm25_sql('lang = ' + chr(39) + 'en' + chr(39)), 20, 2)}), legs AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"
+)
+
+
+def three_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = asked(spark, sf_dir)
+    return legs.search_legs(
+        {
+            "vector": lambda: legs.vector_batch(_vectors(spark, sf_dir), q, 20, 0.1),
+            "keyword": lambda: legs.bigram(corpus(spark, sf_dir), q, 20),
+            "fts": lambda: legs.bm25(corpus(spark, sf_dir), q, 20),
+        }
+    )
+
+
+def _fused_sql(norm: str, weights: tuple[float, float, float], k: int) -> str:
+    """Adds the legs' parts in their order."""
+    part = lambda leg: f"coalesce(sum(CASE WHEN leg = {leg} THEN {weights[leg]}::DOUBLE * ({norm}) END), 0)"
+    return f"""{_LEGS}, n AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, sqrt(sum(score * score) OVER w) AS len2 FROM legs WINDOW w AS (PARTITION BY query_id, leg)),
+f AS (SELECT query_id, id, ({part(0)} + {part(1)}) + {part(2)} AS s, min(leg) AS leg, arg_min(rank, leg) AS r FROM n GROUP BY query_id, id),
+fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, leg, r, id) AS INTEGER) AS rank, id, s FROM f QUALIFY rank <= {k})"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 9))
+
+
+_PICK = " SELECT query_id, rank, id, round(s, 9) AS score FROM fused"
+_RRF = "1 / (60.0::DOUBLE + rank)"
+
+
+@_register("rrf_fusion", _fused_sql(_RRF, (1, 1, 1), 10) + _PICK)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fusion.rrf(three_legs(spark, sf_dir), top_k=10))
+
+
+@_register("rrf_weighted", _fused_sql(_RRF, (0.5, 0, 2), 10) + _PICK)
+def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fusion.rrf(three_legs(spark, sf_dir), weights=(0.5, 0.0, 2.0), top_k=10))
+
+
+@_register("rrf_min_relevance", _fused_sql(_RRF, (1, 1, 1), 20) + _PICK + " QUALIFY s >= max(s) OVER (PARTITION BY query_id) * 0.6")
+def rrf_min_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fusion.min_relevance(fusion.rrf(three_legs(spark, sf_dir), top_k=20), 0.6))
+
+
+@_register("linear_minmax", _fused_sql("CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END", (1, 1, 1), 10) + _PICK)
+def linear_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fusion.linear(three_legs(spark, sf_dir), top_k=10))
+
+
+@_register("linear_l2", _fused_sql("CASE WHEN len2 = 0 THEN 0 ELSE score / len2 END", (1, 1, 1), 10) + _PICK)
+def linear_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fusion.linear(three_legs(spark, sf_dir), normalizer="l2", top_k=10))
+
+
+_OVERLAP = f"len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), {PLAIN})), regexp_extract_all(lower(d.text), {PLAIN}))) / len(list_distinct(regexp_extract_all(lower(q.text), {PLAIN})))"
+
+
+@_register(
+    "rerank_floors",
+    _fused_sql(_RRF, (1, 1, 1), 30)
+    + f", r AS (SELECT f.query_id, f.rank AS was, f.id, round({_OVERLAP}, 6) AS score FROM fused f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.id) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS INTEGER) AS rank, id, score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r) WHERE (best <= 0 OR score >= best * 0.3) AND score >= 0.25",
+)
+def rerank_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty fused results of each query, scored anew by shared words; both floors."""
+    from pyspark.sql import Window
+
+    fused = fusion.rrf(three_legs(spark, sf_dir), top_k=30).withColumnRenamed("rank", "was").drop("score")
+    scored = fused.join(corpus(spark, sf_dir).select("id", "content"), "id").join(F.broadcast(asked(spark).select("query_id", "text")), "query_id")
+    scored = scored.select("query_id", "was", "id", F.round(token_overlap(F.col("text"), F.col("content")), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "was")
+    return fusion.rerank_floors(scored, 0.3, 0.25).select("query_id", F.row_number().over(order).alias("rank"), "id", "score")
+
+
+def _end_to_end(spark: SparkSession, sf_dir: str, o: SearchOptions, **how) -> DataFrame:
+    found = search(corpus(spark, sf_dir, vectors=True), asked(spark, sf_dir).drop("language"), o, fold=False, **how)
+    return _rounded(found).select("query_id", "rank", "id", "score", "source_type", "source_id")
+
+
+@_register("hybrid_search_e2e")
+def hybrid_search_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine, word similarity and text search with synonyms and stop words, fused by reciprocal ranks."""
+    lookup = S.load({"language": a, "term": b, "synonyms": c, "direction": d} for a, b, c, d in SYNONYMS)
+    return _end_to_end(spark, sf_dir, SearchOptions(top_k=10, vector_min_score=0.1, language="en"), lookup=lookup, stop_words=list(STOP))
+
+
+@_register("hybrid_search_reranked")
+def hybrid_search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 and linear fusion, reranked by shared words."""
+
+    def overlap(query: str, texts: list[str]) -> list[float]:
+        q = set(query.split())
+        return [len(q & set(t.lower().split())) / len(q) if q else 0.0 for t in texts]
+
+    return _end_to_end(spark, sf_dir, SearchOptions(top_k=5, vector_min_score=0.1, language="en", text_search="bm25", fusion="linear", rerank=True, rerank_candidates=20), scorer=overlap)
+
+
+# texts
+
+
+@_register("source_language_filters", "SELECT source AS source_type, lang AS language, count(*) AS n FROM documents WHERE source IN ('src1', 'src4') AND lang IN ('en', 'de') GROUP BY ALL")
+def source_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legs.in_filters(corpus(spark, sf_dir), ["src1", "src4"], None, ["en", "de"]).groupBy("source_type", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCRIPTS = ("plain words", "返品できますか", "小米手机拍照", "한국어 text", "ใครขายไก่", "سياسة الإرجاع", "नमस्ते दुनिया", "नमस्ते my dear good friend", "123 !?", "")
+
+
+@_register(
+    "detect_language",
+    "WITH t AS (SELECT text FROM documents UNION ALL VALUES " + ", ".join(f"('{s}')" for s in _SCRIPTS) + "), c AS (SELECT text, "
+    + ", ".join(f"length(regexp_replace(text, '[^{v}]', '', 'g')) AS {k}" for k, v in {"deva": r"\x{900}-\x{97f}", "thai": r"\x{e00}-\x{e7f}", "arab": r"\x{600}-\x{6ff}\x{750}-\x{77f}\x{fb50}-\x{fdff}\x{fe70}-\x{feff}", "latin": "A-Za-z", "kana": r"\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{ff65}-\x{ff9f}", "hangul": r"\x{1100}-\x{11ff}\x{3130}-\x{318f}\x{ac00}-\x{d7af}", "han": r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{20000}-\x{2fa1f}"}.items())
+    + " FROM t) SELECT CASE WHEN deva + thai + arab + latin + kana + hangul + han = 0 THEN 'en' WHEN kana > 0 THEN 'ja' WHEN hangul > 0 THEN 'ko' WHEN han > 0 AND 2 * han >= deva + thai + arab + latin + kana + hangul + han THEN 'zh' "
+    "WHEN 2 * thai > deva + thai + arab + latin + kana + hangul + han THEN 'th' WHEN 2 * arab > deva + thai + arab + latin + kana + hangul + han THEN 'ar' WHEN 2 * deva > deva + thai + arab + latin + kana + hangul + han THEN 'hi' "
+    "WHEN deva > 0 AND latin > 0 THEN 'hinglish' ELSE 'en' END AS language, count(*) AS n FROM c GROUP BY 1",
+)
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "documents").select("text").unionByName(spark.createDataFrame([(s,) for s in _SCRIPTS], "text string"))
+    return texts.groupBy(X.detect_language(F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FOLDED = (("ar", "سِيَاسَة الإرجاع"), ("ar-SA", "على ٣٤ مـدرسة"), ("th", "ราคา ๑๒๓"), ("en", "plain ٣"))
+
+
+@_register(
+    "normalize_arabic_thai",
+    "SELECT language, CASE WHEN language LIKE 'ar%' THEN nfc_normalize(translate(regexp_replace(nfc_normalize(text), '[\\x{64b}-\\x{65f}\\x{670}\\x{640}\\x{200c}\\x{200d}]', '', 'g'), 'آأإٱ٠١٢٣٤٥٦٧٨٩ىة', 'اااا0123456789يه')) "
+    "WHEN language = 'th' THEN translate(nfc_normalize(text), '๐๑๒๓๔๕๖๗๘๙', '0123456789') ELSE nfc_normalize(text) END AS text FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FOLDED) + ") t(language, text)",
+)
+def normalize_arabic_thai(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(list(_FOLDED), "language string, text string")
+    return df.select("language", X.normalize_for(F.col("text"), F.col("language")).alias("text"))
+
+
+_CLEAN = r"array_to_string(list_filter([regexp_replace(w, '[!\"''\).,:;?\]}”’…،؛؟।॥ฯๆ、。！，：；？]+$', '') FOR w IN regexp_split_to_array(lower(text), '\s+')], lambda w: w <> ''), ' ')"
+
+
+@_register("clean_query", f"SELECT item_id, {_CLEAN} AS text FROM benchmark".replace('\\"', '"'))
+def clean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", X.clean_query(F.col("text")).alias("text"))
+
+
+@_register("remove_stop_words", "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP) + "], lower(w))), ' ') AS text FROM benchmark")
+def remove_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", X.remove_stop_words(F.col("text"), F.array(*map(F.lit, STOP))).alias("text"))
+
+
+@_register("stop_word_sets", "SELECT language, list_sort(list(DISTINCT lower(word))) AS words FROM (VALUES ('en', 'The'), ('en', 'the'), ('en', 'of'), ('de', 'Und')) t(language, word) GROUP BY language")
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stop_word_sets(spark.createDataFrame([("en", "The"), ("en", "the"), ("en", "of"), ("de", "Und")], "language string, word string"))
+
+
+@_register("synonym_lookup", "SELECT * FROM (VALUES ('en', 'license', 'permit|licence'), ('en', 'permit', 'license'), ('en', 'licence', 'license'), ('en', 'hand', 'palm|fist'), ('en', 'token', 'key|secret key'), ('en', 'key', 'token'), ('en', 'secret key', 'token')) t(language, term, synonyms)")
+def synonym_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(SYNONYMS), "language string, term string, synonyms string, direction string")
+    return S.lookup_frame(rows).withColumn("synonyms", F.array_join("synonyms", "|"))
+
+
+@_register("synonym_expand")
+def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question with synonyms, as a text-search query and as a list of terms."""
+    lookup = S.load({"language": a, "term": b, "synonyms": c, "direction": d} for a, b, c, d in SYNONYMS)
+    rows = [(i, S.expand(t, lookup), S.fts_query(t, lookup), S.bm25_query(t, lookup)) for i, t in ASKED]
+    return spark.createDataFrame(rows, "query_id int, expanded string, fts string, bm25 string")
+
+
+@_register("script_functions", "SELECT * FROM (VALUES ('ใช้ 5G โรมมิ่ง', 0.909091::DOUBLE, true, true), ('abc อ', 0.25, false, true), ('ราคา', 1.0, true, false), ('', 0.0, false, false)) t(text, ratio, thai, borrowed)")
+def script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([("ใช้ 5G โรมมิ่ง",), ("abc อ",), ("ราคา",), ("",)], "text string")
+    t = F.col("text")
+    return df.select("text", F.round(X.script_ratio(t, "thai"), 6).alias("ratio"), X.dominant(t, "thai").alias("thai"), X.loanword_heavy(t).alias("borrowed"))
+
+
+@_register("chunk_documents")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))
+    return chunk_frame(docs, Chunker(token_limit=256))
+
+
+_LINES = "l AS (SELECT source AS doc, doc_id AS page, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS line FROM documents)"
+
+
+@_register("recurring_boilerplate", f"WITH {_LINES} SELECT doc, line, count(DISTINCT page) AS pages FROM l JOIN (SELECT source AS doc, count(*) AS total FROM documents GROUP BY 1) USING (doc) WHERE line <> '' GROUP BY doc, line HAVING count(DISTINCT page) >= greatest(2, ceil(any_value(total) * 0.05))")
+def recurring_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's documents as the pages of one."""
+    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return cleaning.recurring(pages, 0.05)
+
+
+@_register(
+    "strip_boilerplate",
+    "WITH l AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), "
+    "t AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l), "
+    "b AS (SELECT doc, line FROM t JOIN (SELECT source AS doc, count(*) AS total FROM documents GROUP BY 1) USING (doc) WHERE line <> '' GROUP BY doc, line HAVING count(DISTINCT page) >= greatest(2, ceil(any_value(total) * 0.05))) "
+    "SELECT t.doc, page, md5(coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (b.line IS NULL), '')) AS digest FROM t LEFT JOIN b ON b.doc = t.doc AND b.line = t.line GROUP BY t.doc, page",
+)
+def strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return cleaning.without_recurring(pages, 0.05).select("doc", "page", F.md5("text").alias("digest"))
+
+
+# evaluation
+
+_OUT = (
+    f"WITH r AS ({_top(_BATCH, 10, 0)}), t AS (SELECT a.vec_id AS query_id, min(b.vec_id) AS target, any_value(a.label) AS label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark) GROUP BY 1), "
+    "p AS (SELECT t.query_id, label, coalesce(min(CASE WHEN r.id = t.target THEN r.rank END), 0) AS p FROM t LEFT JOIN r USING (query_id) GROUP BY ALL), "
+    "m AS (SELECT label, " + ", ".join(f"CASE WHEN p BETWEEN 1 AND {k} THEN 1.0 ELSE 0 END AS recall_{k}" for k in (1, 3, 5, 10)) + ", CASE WHEN p > 0 THEN 1 / p ELSE 0 END AS mrr_10, CASE WHEN p > 0 THEN 1 / log2(p + 1) ELSE 0 END AS ndcg_10 FROM p)"
+)
+_MEANS = "count(*) AS n, " + ", ".join(f"round(avg({m}::DOUBLE), 6) AS {m}" for m in evaluate.MEASURES)
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item is to find the first other vector of its label."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    items = _items(spark, sf_dir).select("query_id").join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
+    # the first two of each label are enough: one of them isn't the item itself
+    firsts = e.groupBy("label").agg(F.min("vec_id").alias("one"))
+    seconds = e.join(firsts, "label").where("vec_id <> one").groupBy("label").agg(F.min("vec_id").alias("two"))
+    target = F.when(F.col("one") != F.col("query_id"), F.col("one")).otherwise(F.col("two"))
+    qrels = items.join(firsts, "label").join(seconds, "label", "left").select("query_id", "label", target.alias("target")).where("target is not null")
+    return evaluate.outcomes(vector_batch_topk(spark, sf_dir), _vectors(spark, sf_dir).select("id", F.col("id").alias("doc_id")), qrels)
+
+
+@_register("metrics_summary", f"{_OUT} SELECT {_MEANS} FROM m")
+def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.summarize(_outcomes(spark, sf_dir))
+
+
+@_register("metrics_slices", f"{_OUT} SELECT 'all' AS attribute, CAST(NULL AS VARCHAR) AS value, {_MEANS} FROM m UNION ALL SELECT 'label', CAST(label AS VARCHAR), {_MEANS} FROM m GROUP BY label")
+def metrics_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.slices(_outcomes(spark, sf_dir), "label")
+
+
+@_register("qrels_resolve", "SELECT vec_id AS query_id, vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS resolved FROM embeddings")
+def qrels_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qrels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("target"))
+    there, not_there = evaluate.resolve(qrels, _table(spark, sf_dir, "documents").where("lang = 'en'"))
+    return there.select("query_id", F.lit(True).alias("resolved")).unionByName(not_there.select("query_id", F.lit(False).alias("resolved")))
+
+
+@_register("corpus_disclosure", "SELECT lang AS language, source AS source_type, count(*) AS n, count(DISTINCT text) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL")
+def corpus_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language"), F.col("source").alias("source_type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
+# the store
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DocumentStore:
+    store = DocumentStore(spark, shared_folder(spark, "store"))
+    docs = _table(spark, sf_dir, "documents")
+    store.insert(docs.select(F.lit(TENANT).alias("tenant_id"), F.col("source").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.col("lang").alias("language")))
+    return store
+
+
+_KEPT = "SELECT source AS source_type, CAST(doc_id AS VARCHAR) AS source_id, md5(text) AS digest FROM documents WHERE NOT ({0})"
+
+
+def _digests(df: DataFrame) -> DataFrame:
+    return df.select("source_type", "source_id", F.md5("content").alias("digest"))
+
+
+@_register("replace_source", _KEPT.format("source = 'src3'") + " UNION ALL SELECT source, CAST(doc_id AS VARCHAR), md5(upper(text)) FROM documents WHERE source = 'src3' AND lang = 'en'")
+def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source type replaced by the English ones among them, in capitals."""
+    store = _stored(spark, sf_dir)
+    old = store.scan(TENANT).where("source_type = 'src3'")
+    new = old.where("language = 'en'").select("tenant_id", "source_type", "source_id", F.upper("content").alias("content"), "language")
+    store.replace_sources(old.select("tenant_id", "source_type", "source_id"), new)
+    return _digests(store.scan(TENANT))
+
+
+@_register("delete_source", _KEPT.format("source = 'src3' AND doc_id = 3"))
+def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    store.delete_source(TENANT, "src3", "3")
+    return _digests(store.scan(TENANT))
+
+
+@_register("streaming_ingest", "SELECT source AS source_type, count(*) AS sources FROM documents GROUP BY 1")
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a stream of changes; how many sources the store has then. (source, doc_id) is a source's key."""
+    store = DocumentStore(spark, shared_folder(spark, "stream-store"), dimensions=16)
+    reader = spark.readStream.schema(_table(spark, sf_dir, "documents").schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    files = reader.parquet(f"{sf_dir}/documents.parquet") if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    changes = files.select(F.lit(TENANT).alias("tenant_id"), F.col("source").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), "text", F.col("lang").alias("language"), F.lit("{}").alias("metadata"), F.lit(1).alias("version"))
+    ingest.run(changes, store, Chunker(token_limit=512), HashEmbedder(16), shared_folder(spark, "stream-checkpoint"), availableNow=True).awaitTermination()
+    return store.scan(TENANT).groupBy("source_type").agg(F.countDistinct("source_id").alias("sources"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _registry.items() if s is not None}
