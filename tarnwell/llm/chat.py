@@ -31,18 +31,15 @@ class Params:
     close: str = "<|im_end|>"
 
 
-def events(conversations: DataFrame) -> DataFrame:
-    """The log of a table (conv_id, turn, role, text): each row is a message event in the order of turns. Columns seq, kind and message, if
-    there, are taken as they are."""
-    has = conversations.columns
-    seq = F.col("seq") if "seq" in has else F.col("turn")
-    kind = F.lower(F.col("kind").cast("string")) if "kind" in has else F.lit("message")
-    message = F.col("message") if "message" in has else F.col("turn")
+def events(conversations: DataFrame, seq: str = "turn", kind: str | None = None, message: str = "turn") -> DataFrame:
+    """The log of a table (conv_id, turn, role, text): each row is a message event, in the order of turns. Logs of other events name the columns
+    of their sequence, kind and message number; other columns, whatever they are called, don't matter."""
+    what = F.lower(F.col(kind).cast("string")) if kind else F.lit("message")
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        seq.cast("long").alias("seq"),
-        F.coalesce(F.when(kind.isin(*KINDS), kind), F.lit("message")).alias("kind"),
-        message.cast("long").alias("message"),
+        F.col(seq).cast("long").alias("seq"),
+        F.coalesce(F.when(what.isin(*KINDS), what), F.lit("message")).alias("kind"),
+        F.col(message).cast("long").alias("message"),
         F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
