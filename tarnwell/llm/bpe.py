@@ -27,7 +27,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from .words import _pow, mix, slices
+from .words import mix, _pow, slices, tidied
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\P{White_Space})(?=\p{White_Space})")
@@ -42,8 +42,8 @@ class Params:
     pattern: str = PATTERN  # the cuts above are proven for this pattern
     leaf_chars: int = 4096
     window_chars: int = 16  # the first window on each side of a seam
-    slice_chars: int = 1 << 20
-    memo: int = 400_000
+    slice_chars: int = 1 << 19
+    memo: int = 150_000
 
 
 @lru_cache(maxsize=1)
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, p: Params = Params(), verify: bool = True) -> DataFr
                 same = pa.array([b.decode(k) == t.encode() if verify and t is not None else None for t, k in zip(texts, tokens)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists, pa.array(n, mask=null), same], names=["doc_id", "tokens", "n_tokens", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, tokens array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(rows: DataFrame, p: Params = Params()) -> DataFrame:
@@ -243,4 +243,4 @@ def decode(rows: DataFrame, p: Params = Params()) -> DataFrame:
             text = [None if t is None else b.decode(np.array(t, dtype=np.int32)).decode(errors="replace") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long"), F.col("tokens").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long"), F.col("tokens").cast("array<int>")).mapInArrow(tidied(run), "doc_id long, text string")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import slices, words
+from .words import slices, tidied, words
 
 SYMBOL = 21
 _MASK = np.uint64((1 << SYMBOL) - 1)
@@ -211,7 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
                     item_id = pa.array(ids[item], mask=null[item])
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), item_id, pa.array(n.astype(np.int32)), pa.array(dw), pa.array(iw.astype(np.int32))], names=["doc_id", "item_id", "match_words", "doc_word", "item_word"])
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(find), SCHEMA)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("match_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.match_words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
@@ -229,5 +229,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -
                     keep[r] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(tidied(clean), docs.schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .pairs import blocked, by_part, part_pairs
 from .spill import cut
-from .words import mix
+from .words import mix, tidied
 
 PAIRS_AT_ONCE = 1 << 15
 
@@ -110,7 +110,7 @@ def _coded(embeddings: DataFrame, p: Params) -> DataFrame:
                     )
 
     schema = "node long, vec_id long, dim int, bits binary, small binary, scale float, loss float, factor float"
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id is not null").mapInArrow(run, schema)
+    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id is not null").mapInArrow(tidied(run), schema)
 
 
 def _bits(column: pa.Array, dim: int, p: Params) -> np.ndarray:
@@ -131,7 +131,7 @@ def _posted(coded: DataFrame, p: Params) -> DataFrame:
                 k = keys(_bits(part.column(2), int(dim), p), p) | (np.arange(p.bands, dtype=np.int64) << np.int64(p.band_bits)) | np.int64(int(dim) << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), p.bands)), pa.array(k.ravel())], names=["node", "key"])
 
-    return coded.select("node", "dim", "bits").mapInArrow(run, "node long, key long")
+    return coded.select("node", "dim", "bits").mapInArrow(tidied(run), "node long, key long")
 
 
 def _compare(p: Params):

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .words import tidied
+
 _DROPPED = ("script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select")
 _LINE = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _TOKEN = re.compile(r"<(?:!--|[!?]|/?([a-zA-Z][a-zA-Z0-9:-]*))")
@@ -121,4 +123,4 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
                 got = [None if h is None else text_of(h, p) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g and g[0] for g in got], pa.string()), pa.array([g and g[1] for g in got], pa.int32())], names=["page_id", "url", "text", "n_regions"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_regions int")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(tidied(run), "page_id long, url string, text string, n_regions int")

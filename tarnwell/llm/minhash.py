@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .pairs import blocked, by_part, components, part_pairs
 from .spill import cut
-from .words import grams, mix, slices, words
+from .words import grams, mix, slices, tidied, words
 
 PAIRS_AT_ONCE = 1 << 17
 
@@ -81,7 +81,7 @@ def signed(docs: DataFrame, p: Params = Params()) -> DataFrame:
             if len(rows):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "doc_id long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(tidied(run), "doc_id long, sig binary")
 
 
 def _postings(reps: DataFrame, p: Params) -> DataFrame:
@@ -95,7 +95,7 @@ def _postings(reps: DataFrame, p: Params) -> DataFrame:
                 sig = _matrix(part.column(1), p).view(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), p.coordinates)), pa.array((sig + base).ravel())], names=["node", "feature"])
 
-    return reps.select("node", "sig").mapInArrow(run, "node long, feature long")
+    return reps.select("node", "sig").mapInArrow(tidied(run), "node long, feature long")
 
 
 def _matrix(sig: pa.Array, p: Params) -> np.ndarray:

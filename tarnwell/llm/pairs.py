@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .spill import cut, drop
+from .words import tidied
 
 BLOCK = 1024
 
@@ -60,7 +61,7 @@ def by_part(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarray]
                 yield from fn(whole, np.diff(np.append(new[new < upto], upto)))
             held = None if last else held.slice(upto)
 
-    return rows.repartition(key, "part").sortWithinPartitions(key, "part").mapInArrow(run, schema)
+    return rows.repartition(key, "part").sortWithinPartitions(key, "part").mapInArrow(tidied(run), schema)
 
 
 def _with_last(it: Iterator) -> Iterator[tuple[bool, object]]:
@@ -81,7 +82,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Null ids are left out."""
     schema = "u long, v long"
     found = pairs.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut(found.mapInArrow(_forest, schema).distinct())
+    edges = cut(found.mapInArrow(tidied(_forest), schema).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
@@ -90,7 +91,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         m = F.min("v").over(Window.partitionBy("u"))
         small = down.select("u", "v", m.alias("m"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        new = cut(small.mapInArrow(_forest, schema).distinct())
+        new = cut(small.mapInArrow(tidied(_forest), schema).distinct())
         # stars: nobody has two neighbours above it and below it at once, and everybody below has one
         done = new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
         drop(edges)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .words import slices
+from .words import slices, tidied
 
 KINDS = ("email", "iban", "ip", "ssn", "account", "phone", "secret")
 LABELERS = 5
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
         if n:
             yield pa.RecordBatch.from_pydict({"kind": [k[0] for k in n], "votes": [k[1] for k in n], "shape": [k[2] for k in n], "n": list(n.values())}, schema=pa.schema([("kind", pa.int32()), ("votes", pa.int32()), ("shape", pa.int32()), ("n", pa.int64())]))
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind int, votes int, shape int, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(tidied(run), "kind int, votes int, shape int, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n"))
     return train([tuple(r) for r in counted.collect()], p)  # at most kinds x 3^labelers x shapes rows
 
 
@@ -221,7 +221,7 @@ def spans(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
                 r, s, e, k, q = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(k), pa.array(q)], names=["doc_id", "start", "end", "kind", "probability"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start int, end int, kind string, probability double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, start int, end int, kind string, probability double")
 
 
 def redact(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
@@ -253,4 +253,4 @@ def redact(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
                 b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

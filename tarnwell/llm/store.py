@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bpe
 from .spill import cut, shared_dir
-from .words import _pow, mix
+from .words import mix, _pow, tidied
 
 SCHEMA = "row string, doc_id long, n_tokens int, n_chunks int, root binary, ordinal int, digest binary, n_ids int, payload binary"
 
@@ -108,7 +108,7 @@ def chunked(docs: DataFrame, p: Params) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SCHEMA)
 
 
 def write(docs: DataFrame, path: str | None = None, p: Params = Params()) -> str:
@@ -130,7 +130,7 @@ def verify(spark, path: str, p: Params = Params()) -> DataFrame:
             wrong = [d for d, n, x in zip(*(c.to_pylist() for c in b.columns)) if digest(x, p) != d or len(x) != n * size]
             yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.binary())], names=["digest"])
 
-    broken = table.where("payload is not null").select("digest", "n_ids", "payload").mapInArrow(bad, "digest binary").distinct()
+    broken = table.where("payload is not null").select("digest", "n_ids", "payload").mapInArrow(tidied(bad), "digest binary").distinct()
     uses = table.select("row", "doc_id", "n_tokens", "n_chunks", "root", "ordinal", "digest", "n_ids", F.col("payload").isNotNull().alias("here"))
     # as the writer has it, the uses of a digest lie in one file, the payload in one row
     lost = table.where("digest is not null").groupBy("digest").agg(F.count("payload").alias("n")).where("n <> 1").select("digest")
@@ -153,7 +153,7 @@ def verify(spark, path: str, p: Params = Params()) -> DataFrame:
                 ok.append(not wrong_ and [u["ordinal"] for u in own] == list(range(n)) and sum(u["n_ids"] for u in own) == t and merkle([u["digest"] for u in own], p.digest_bytes) == root)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.hex() for r in roots], pa.string()), pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "n_chunks", "root", "verified"])
 
-    return docs.select("doc_id", "n_tokens", "n_chunks", "root", "recipe", "bad").mapInArrow(check, "doc_id long, n_tokens int, n_chunks int, root string, verified boolean")
+    return docs.select("doc_id", "n_tokens", "n_chunks", "root", "recipe", "bad").mapInArrow(tidied(check), "doc_id long, n_tokens int, n_chunks int, root string, verified boolean")
 
 
 def chunks(spark, path: str) -> DataFrame:
@@ -172,4 +172,4 @@ def reconstruct(spark, path: str, p: Params = Params()) -> DataFrame:
             tokens = [np.frombuffer(b"".join(u["payload"] or b"" for u in x), dtype=kind).astype(np.int32) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "tokens"])
 
-    return parts.select("doc_id", "parts").mapInArrow(run, "doc_id long, tokens array<int>")
+    return parts.select("doc_id", "parts").mapInArrow(tidied(run), "doc_id long, tokens array<int>")

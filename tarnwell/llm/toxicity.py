@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import mix_int, slices, words
+from .words import mix_int, slices, tidied, words
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def _screen(rows: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     bad, good = total["bad"] or 0, (total["n"] or 0) - (total["bad"] or 0)
     if not bad or not good:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    f = rows.mapInArrow(run, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    f = rows.mapInArrow(tidied(run), "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     pb, pg = F.col("bad") / bad, (F.col("good") + 0.5) / (good + 1)
     base = (F.col("bad") + F.col("good")) / (bad + good)
     ratio = F.col("bad") * F.log(pb / base) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / good / base)).otherwise(0.0)
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
                     ends = np.searchsorted(row, np.arange(n + 1))
                     yield pa.RecordBatch.from_arrays([b.column(1).slice(at, n).cast(pa.int32()), pa.array(w), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, pa.int32()))], names=["toxic", "marked", "f", "n"])
 
-        data = rows.mapInArrow(run, "toxic int, marked int, f array<int>, n array<int>").collect()
+        data = rows.mapInArrow(tidied(run), "toxic int, marked int, f array<int>, n array<int>").collect()
     finally:
         rows.unpersist()
     data.sort(key=lambda r: (r["toxic"], r["marked"], r["f"], r["n"]))  # the fit doesn't hang on the order of partitions
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
             bad = s[:, 0] >= p.reject if s.shape[1] else np.zeros(len(s), dtype=bool)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(bad)], names=["doc_id", "expected_severity", "severity", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, expected_severity double, severity int, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, expected_severity double, severity int, toxic boolean")
 
 
 def reject(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
@@ -217,4 +217,4 @@ def reject(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
             s = known.value.severity(_z(b.column(text_at), known.value, p))
             yield b.filter(pa.array(s[:, 0] < p.reject)) if s.shape[1] else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
