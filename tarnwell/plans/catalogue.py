@@ -100,7 +100,7 @@ def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by k-means cells: approximate."""
     celled, centres = legs.cells(_vectors(spark, sf_dir), 16)
-    return legs.vector_probed(celled, centres, _items(spark, sf_dir), 10, 0.1, 10)
+    return legs.vector_probed(celled, centres, _items(spark, sf_dir), 10, 0.1, 13)
 
 
 # keywords
