@@ -106,10 +106,9 @@ def vector_probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # keywords
 
 _GRAMS = "[substr(' ' || {0} || ' ', i, 2) FOR i IN range(1, length({0}) + 2)]"
-_BIGRAM = f"""SELECT query_id, id, round(n / len(qb), 6) AS score FROM (
-  SELECT query_id, d.doc_id AS id, qb, len(list_intersect(qb, list_distinct({_GRAMS.format("d.text")}))) AS n FROM documents d,
-  (SELECT query_id, list_filter(list_distinct({_GRAMS.format("text")}), lambda g: NOT contains(g, ' ')) AS qb FROM q)
-) WHERE len(qb) > 0 AND n > 0 AND round(n / len(qb), 6) >= 0.35"""
+_BIGRAM = f"""SELECT query_id, doc_id AS id, round(count(*) / any_value(n), 6) AS score FROM documents d, (
+  SELECT query_id, len(qb) AS n, unnest(qb) AS g FROM (SELECT query_id, list_filter(list_distinct({_GRAMS.format("text")}), lambda g: NOT contains(g, ' ')) AS qb FROM q)
+) WHERE contains(d.text, g) GROUP BY query_id, doc_id HAVING round(count(*) / any_value(n), 6) >= 0.35"""
 
 
 @_register("bigram_coverage_topk", f"WITH {_ASKED_SQL} " + _top(_BIGRAM, 20, 1))
