@@ -110,7 +110,13 @@ def tokens(text: Column) -> Column:
 
 
 def _grams(word: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))
+    """Runs of n characters, in time proportional to the text: a substring would be searched from the text's start each time."""
+    chars = F.split(word, "")
+    length = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    out = F.slice(chars, F.lit(1), length)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(chars, F.lit(k), length), lambda a, b: F.concat(a, b))
+    return out
 
 
 def trigrams(text: Column) -> Column:

@@ -148,8 +148,10 @@ def trigram(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0
                 for x in set(own):
                     for q in holders.get(x, ()):
                         shared[q] = shared.get(q, 0) + 1
-                for q, n in shared.items():
-                    if n >= floor * len(sent.value[q]) - 1e-9 and (s := wordsim.word_similarity(sent.value[q], own)) >= floor - 1e-9 and round(s, 6) >= floor:
+                able = [q for q, n in shared.items() if n >= floor * len(sent.value[q]) - 1e-6]
+                doc = wordsim.Indexed(own) if able else None
+                for q in able:
+                    if round(s := wordsim.word_similarity(sent.value[q], doc, max(0.0, floor - 1e-6)), 6) >= floor and s > 0:
                         rows.append((q, i, s))
             yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
 
