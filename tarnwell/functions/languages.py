@@ -47,7 +47,7 @@ def bm25_group_of(language: Column) -> Column:
 
 def bm25_index(language: str | None) -> str:
     group = BM25_GROUPS.get(bm25_group(language))
-    return f"idx_rag_bm25_{group[0] if group else 'simple'}"
+    return f"bm25_{group[0] if group else 'simple'}"
 
 
 def char_limit(language: str | None, token_limit: float) -> int:

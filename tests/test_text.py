@@ -138,5 +138,5 @@ def test_english_stems(word, want):
 def test_recommendations():
     assert [L.recommend(c).stemming for c in ("en-GB", "ar", "th", "zh", "de-DE")] == ["english", "arabic", "none", "none", "german"]
     assert L.recommend("ar-SA").needs_normalization and L.recommend("zh-TW").is_cjk and not L.recommend("en").is_cjk
-    assert L.fts_config("en-GB") == "simple" and L.bm25_group("ar") == "simple" and L.bm25_index("es-MX") == "idx_rag_bm25_es" and L.bm25_index("th") == "idx_rag_bm25_simple"
+    assert L.fts_config("en-GB") == "simple" and L.bm25_group("ar") == "simple" and L.bm25_index("es-MX") == "bm25_es" and L.bm25_index("th") == "bm25_simple"
     assert (L.char_limit("th", 512), L.char_limit("zh-TW", 512), L.char_limit("xx", 512), L.char_limit(None, 512)) == (768, 614, 512, 512)
