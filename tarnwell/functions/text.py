@@ -24,24 +24,29 @@ _BLOCKS = {
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{chars}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def detect_language(text: Column) -> Column:
     """Language by script: ja if there is any kana, ko if any Hangul, then by the share of each script; en where nothing tells."""
-    n = {k: _count(text, v) for k, v in _BLOCKS.items()}
-    total = sum((n[k] for k in list(n)[1:]), n["devanagari"])
-    return (
-        F.when(total == 0, "en")
-        .when(n["kana"] > 0, "ja")
-        .when(n["hangul"] > 0, "ko")
-        .when((n["han"] > 0) & (n["han"] * 2 >= total), "zh")
-        .when(n["thai"] * 2 > total, "th")
-        .when(n["arabic"] * 2 > total, "ar")
-        .when(n["devanagari"] * 2 > total, "hi")
-        .when((n["devanagari"] > 0) & (n["latin"] > 0), "hinglish")
-        .otherwise("en")
-    )
+
+    def decide(n: Column) -> Column:
+        total = sum((n[k] for k in list(_BLOCKS)[1:]), n["devanagari"])
+        return (
+            F.when(total == 0, "en")
+            .when(n["kana"] > 0, "ja")
+            .when(n["hangul"] > 0, "ko")
+            .when((n["han"] > 0) & (n["han"] * 2 >= total), "zh")
+            .when(n["thai"] * 2 > total, "th")
+            .when(n["arabic"] * 2 > total, "ar")
+            .when(n["devanagari"] * 2 > total, "hi")
+            .when((n["devanagari"] > 0) & (n["latin"] > 0), "hinglish")
+            .otherwise("en")
+        )
+
+    # an array of one, so that each script is counted once and not in every branch
+    counted = F.array(F.struct(*[_count(text, v).alias(k) for k, v in _BLOCKS.items()]))
+    return F.element_at(F.transform(counted, decide), 1)
 
 
 def base_language(code: Column) -> Column:
