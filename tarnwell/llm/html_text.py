@@ -1,9 +1,9 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped so that each block-level element is a line of its own; empty lines are those that the page has. The block at a line is that line and the next ones, ``block``
-of them; its size is the sum of their text lengths. Where sizes surge past ``surge`` the main text begins, where they dive
-below ``dive`` it ends, and the text between is kept. Of each region, the short lines that only a window over its edge let in
-are trimmed. A page may have several regions.
+Markup is stripped so that each block-level element is a line of its own, however its source is wrapped (``pre`` keeps its lines); empty lines are those that the page has between
+texts. The block at a line is that line and the next ones, ``block`` of them; its size is the sum of their text lengths. Where sizes surge past ``surge`` the main text begins, where
+they dive below ``dive`` it ends, and the text between is kept. Of the first ``block`` - 1 lines of a region, those are left out at its start that are shorter than ``dive`` and that
+the surge doesn't need: only the window let them in. A page may have several regions.
 
 Defined results: a null page has null text, one without a surge the empty text and no regions; pages of any length are
 read whole, in time proportional to their length; rows of one page_id are each extracted; markup that is never closed ends at the page's end.
@@ -53,6 +53,18 @@ def lines(page: str) -> list[str]:
     out: list[str] = []
     at, n = 0, len(page)
     missing: set[str] = set()
+    first, pre = 0, 0  # where the text of this element begins in out; how many pre are open
+
+    def fold() -> None:
+        """Source line breaks within the text since ``first`` are blanks; those around it stay, as empty lines."""
+        nonlocal first
+        if not pre and first < len(out):
+            x = "".join(out[first:])
+            if text := x.strip():
+                before, _, after = x.partition(text)
+                out[first:] = [before, text.replace("\n", " "), after]
+        first = len(out)
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -78,13 +90,20 @@ def lines(page: str) -> list[str]:
             else:
                 at = _after(page, end.end())
             tag = "p"
-        if tag in _LINE and out[-1:] != ["\n"]:  # the end of one element and the start of the next are one break
-            out.append("\n")
+        if tag in _LINE:
+            parted = out[-1:] == ["\n"]  # the end of one element and the start of the next are one break
+            fold()
+            if not parted:
+                out.append("\n")
+            first = len(out)
+            if tag == "pre":
+                pre = max(0, pre - 1) if page[m.start() + 1] == "/" else pre + 1
+    fold()
     return [_BLANK.sub(" ", html.unescape(x)).strip() for x in "".join(out).split("\n")]
 
 
 def regions(size: list[int], p: Params) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each stretch between a surge and the dive that follows, edges trimmed."""
+    """``stretches`` down to their long lines: what is sure to be text. Short lines at both edges are trimmed, and stretches without a long line left out."""
     n = len(size)
     block = sum(size[: p.block])
     out: list[tuple[int, int]] = []
@@ -106,10 +125,30 @@ def regions(size: list[int], p: Params) -> list[tuple[int, int]]:
     return out
 
 
+def stretches(size: list[int], p: Params) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each stretch between a surge and the dive that follows, without what only the window over its start let in."""
+    n = len(size)
+    block = sum(size[: p.block])
+    out: list[tuple[int, int]] = []
+    start = -1
+    for i in range(n + 1):
+        if start < 0 and i < n and block >= p.surge:
+            start, rest = i, block
+            while start < min(i + p.block, n) - 1 and size[start] < p.dive and rest - size[start] >= p.surge:
+                rest -= size[start]
+                start += 1
+        elif start >= 0 and (i == n or block < p.dive):
+            out.append((start, i))
+            start = -1
+        if i < n:
+            block += (size[i + p.block] if i + p.block < n else 0) - size[i]
+    return out
+
+
 def text_of(page: str, p: Params = Params()) -> tuple[str, int]:
     """(main text, regions)."""
     ls = lines(page)
-    found = regions([len(x) for x in ls], p)
+    found = stretches([len(x) for x in ls], p)
     return "\n".join(x for a, b in found for x in ls[a:b] if x), len(found)
 
 
