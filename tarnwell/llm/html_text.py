@@ -24,7 +24,7 @@ from .words import tidied
 _DROPPED = ("script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select")
 _LINE = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _TOKEN = re.compile(r"<(?:!--|[!?]|/?([a-zA-Z][a-zA-Z0-9:-]*))")
-_QUOTED_END = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
+_QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
 _CLOSE = {t: re.compile(rf"</{t}\b", re.IGNORECASE) for t in _DROPPED}
 _BLANK = re.compile(r"\s+")
 
@@ -37,15 +37,23 @@ class Params:
     least_line: int = 80  # a line at a region's edge that is shorter is trimmed
 
 
-def _after(page: str, i: int) -> int:
-    """Where the tag that opens before i is over. A quote that is never closed doesn't hide the rest of the page: the next > ends the tag."""
+def _after(page: str, i: int, dead: set[int]) -> int:
+    """Where the tag that opens before i is over. A quote opens after = only, as in browsers, and is read to its end however long it is. One that is never closed
+    doesn't hide the rest of the page: the next > ends the tag. dead: where quotes open from which no end of a tag is reached; none is read twice, so a page takes
+    time proportional to its length."""
     near = page.find(">", i)
     if near < 0:
         return len(page)
-    if page.find('"', i, near) < 0 and page.find("'", i, near) < 0:
-        return near + 1
-    m = _QUOTED_END.match(page, i, min(len(page), i + 20_000))
-    return m.end() if m else near + 1
+    at, opened = i, []
+    while m := _QUOTE_OR_END.search(page, at):
+        if m.group() == ">":
+            return m.end()
+        opened.append(m.end())
+        at = -1 if m.end() in dead else page.find(m.group(1), m.end()) + 1 or -1
+        if at < 0:
+            break
+    dead.update(opened)
+    return near + 1
 
 
 def lines(page: str) -> list[str]:
@@ -53,6 +61,7 @@ def lines(page: str) -> list[str]:
     out: list[str] = []
     at, n = 0, len(page)
     missing: set[str] = set()
+    dead: set[int] = set()
     first, pre = 0, 0  # where the text of this element begins in out; how many pre are open
 
     def fold() -> None:
@@ -78,17 +87,17 @@ def lines(page: str) -> list[str]:
                 end = -1 if "-->" in missing else page.find("-->", m.end())
                 if end < 0:
                     missing.add("-->")
-                at = end + 3 if end >= 0 else _after(page, m.end())
+                at = end + 3 if end >= 0 else _after(page, m.end(), dead)
             else:
-                at = _after(page, m.end())
+                at = _after(page, m.end(), dead)
             continue
-        at = _after(page, m.end())
+        at = _after(page, m.end(), dead)
         if tag in _CLOSE and page[m.start() + 1] != "/" and page[at - 2 : at] != "/>":
             end = None if tag in missing else _CLOSE[tag].search(page, at)
             if end is None:
                 missing.add(tag)  # no later one can be closed either; its content is kept
             else:
-                at = _after(page, end.end())
+                at = _after(page, end.end(), dead)
             tag = "p"
         if tag in _LINE:
             parted = out[-1:] == ["\n"]  # the end of one element and the start of the next are one break

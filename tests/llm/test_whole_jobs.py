@@ -1,5 +1,7 @@
 """Small cases in which an operator once did less than the whole job."""
 
+import time
+
 from tarnwell.llm import html_text
 
 
@@ -27,3 +29,21 @@ def test_wrapped_source_is_one_line():
     page = f"<body><ul><li>a\n</ul>\n\n<p>\n{wrapped}\n</p>\n\n\n\n<footer>me</footer>"
     assert html_text.text_of(page) == (wrapped.replace("\n", " "), 1)
     assert html_text.text_of(f"<pre>{wrapped}</pre>") == (wrapped, 1)
+
+
+def test_long_quoted_values_are_not_text():
+    said = "This sentence of the article is long enough to count as text of the page, so it stays here to the end of it."
+    value = "<p>" + "not a text of the page but a value of an attribute, however long it may be > " * 1000 + "</p>"
+    for quote in "\"'":
+        assert html_text.text_of(f"<div data-x={quote}{value}{quote}><p>{said}</p><p>{said}</p></div>") == (f"{said}\n{said}", 1)
+
+
+def test_quotes_that_stay_open_hide_nothing_and_take_linear_time():
+    said = "This sentence of the article is long enough to count as text of the page, so it stays here to the end of it."
+    text, n = html_text.text_of(f'<a href="x><p>{said}</p><p>{said}</p>')
+    assert n == 1 and text.endswith(f"{said}\n{said}")
+    began = time.process_time()
+    for tag in ("<a b=\">\" ", "<a b='\">", "<a b=\"'>\" c='>"):
+        html_text.text_of(tag * 50_000 + "<a b='")
+        html_text.text_of(tag * 50_000 + "<a b=\"")
+    assert time.process_time() - began < 20
