@@ -4,7 +4,7 @@ A document's signature has one minimum for each of ``coordinates`` hash function
 under each (coordinate, value); a pair is kept that collides in ``least`` coordinates or more. Three exact rules keep the
 posting lists that are merged short:
 
-* documents of equal signatures have the same partners: only the smallest id of them is posted;
+* documents of equal signatures have the same partners: one posting stands for all of them;
 * a value that nobody else has can't collide: such postings are skipped, and so are documents left with fewer than ``least``;
 * of the m postings left to a document, sorted from the rarest, a partner must share one of the first m - least + 1 (the
   prefix). Only those lists are merged; the long lists behind them are skipped over, by comparing signatures in place.
@@ -40,6 +40,7 @@ class Params:
     least: int = 26  # collisions that make a pair: a Jaccard similarity of about 0.54
     seed: int = 1
     broadcast_ids: int = 2_000_000
+    block_ids: int = 512  # ids on a side of a pair of signatures that are expanded at once
 
 
 def signatures(texts: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -132,21 +133,52 @@ def _merge(p: Params):
     return run, schema
 
 
-def near_pairs(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: every pair of distinct signatures that collide in ``least`` coordinates, each
-    signature standing under its smallest doc_id, and (that id, other id, all coordinates) for the ids that share it."""
-    sig = signed(docs, p)
-    owner = cut(sig.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.collect_set("doc_id").alias("ids")).withColumn("node", F.xxhash64("sig")))
-    same = owner.where(F.size("ids") > 1).select(F.col("doc_id").alias("doc_a"), F.explode("ids").alias("doc_b"), F.lit(p.coordinates).cast("int").alias("matches"))
-    reps = owner.select("node", "doc_id", "sig")
+def _owners(docs: DataFrame, p: Params) -> DataFrame:
+    """(sig, ids, doc_id, node) of every signature: all ids that have it and the smallest of them."""
+    return cut(signed(docs, p).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.collect_set("doc_id").alias("ids")).withColumn("node", F.xxhash64("sig")))
+
+
+def _near(owner: DataFrame, by: str, p: Params) -> DataFrame:
+    """(doc_a, doc_b, matches): every pair of distinct signatures that collide in ``least`` coordinates, as owner's column ``by``."""
+    reps = owner.select("node", F.col(by).alias("doc_id"), "sig")
     shared = _postings(reps, p).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("feature"))).where("n > 1")
     kept = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f")).where(F.size("f") >= p.least)
     prefix = kept.select("node", F.slice("f.feature", F.lit(1), F.size("f") - (p.least - 1)).alias("f"))
     bits = F.expr("aggregate(f, 0L, (x, v) -> x | shiftleft(1L, cast(shiftright(v, 32) as int)))")
     posted = prefix.select("node", bits.alias("prefix"), "f").join(reps, "node").select("node", "doc_id", "prefix", "sig", F.explode("f").alias("feature"))
     fn, schema = _merge(p)
-    near = by_part(blocked(posted, "feature", "node"), "feature", fn, schema)
-    return near.unionByName(same).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    return by_part(blocked(posted, "feature", "node"), "feature", fn, schema)
+
+
+def near_pairs(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_a, doc_b, matches), doc_a < doc_b: every pair of distinct signatures that collide in ``least`` coordinates, each
+    signature standing under its smallest doc_id, and (that id, other id, all coordinates) for the ids that share it. These
+    are enough to find groups; ``all_pairs`` has every pair."""
+    owner = _owners(docs, p)
+    same = owner.where(F.size("ids") > 1).select(F.col("doc_id").alias("doc_a"), F.explode("ids").alias("doc_b"), F.lit(p.coordinates).cast("int").alias("matches"))
+    return _near(owner, "doc_id", p).unionByName(same).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+
+
+def all_pairs(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_a, doc_b, matches), doc_a < doc_b: every pair of documents that collide in ``least`` coordinates. Pairs of signatures
+    are expanded to the ids that have them, a block of each side at a time, so that no row holds a large group. Only pairs of signatures of
+    which one has an id with several texts can give a pair twice; only theirs are shuffled again."""
+    owner = _owners(docs, p)
+    each = owner.select("node", F.explode("ids").alias("id"))
+    several = each.groupBy("id").count().where("count > 1").select("id")
+    again = each.join(several, "id", "left_semi").select("node").distinct().withColumn("again", F.lit(True))
+    block = F.expr(f"transform(sequence(0, cast(ceil(size(ids) / {p.block_ids}) as int) - 1), k -> slice(array_sort(ids), k * {p.block_ids} + 1, {p.block_ids}))")
+    side = cut(owner.select("node", "ids").join(again, "node", "left").select("node", F.coalesce("again", F.lit(False)).alias("again"), (F.size("ids") > 1).alias("copies"), F.posexplode(block).alias("k", "ids")))
+    a, b = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab")
+    near = cut(_near(owner, "node", p)).select(F.col("doc_a").alias("node_a"), F.col("doc_b").alias("node_b"), "matches").join(a, "node_a").join(b, "node_b")
+    same = a.where("copies_a").join(b.where("copies_b"), (F.col("node_a") == F.col("node_b")) & (F.col("k_a") <= F.col("k_b"))).withColumn("matches", F.lit(p.coordinates).cast("int"))
+    sides = near.unionByName(same.select(near.columns)).select("ids_a", "ids_b", "matches", (F.col("again_a") | F.col("again_b")).alias("again"), ((F.col("node_a") == F.col("node_b")) & (F.col("k_a") == F.col("k_b"))).alias("itself"))
+
+    def ids(rows: DataFrame) -> DataFrame:
+        x = rows.select(F.explode("ids_a").alias("x"), "ids_b", "matches", "itself").select("x", F.explode("ids_b").alias("y"), "matches", "itself")
+        return x.where("x < y or (x > y and not itself)").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "matches")
+
+    return ids(sides.where("not again")).unionByName(ids(sides.where("again")).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches")))
 
 
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:

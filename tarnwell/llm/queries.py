@@ -74,8 +74,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near-duplicates."""
-    return minhash.near_pairs(_table(spark, sf_dir, "documents"))
+    """All pairs of near-duplicates."""
+    return minhash.all_pairs(_table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
