@@ -96,7 +96,7 @@ def make_tests(rows: list[tuple[int, str]], p: Params) -> Tests:
     need = np.minimum(lens[keep], p.min_words)
     left = start[item] + lens[keep][item] - np.arange(len(h)) if len(h) else np.zeros(0, dtype=np.int64)
     suffix = np.flatnonzero(left >= need[item]) if len(h) else np.zeros(0, dtype=np.int64)
-    return Tests(h, np.append(_key(h), np.zeros(3, dtype=np.uint64)), suffix, item, need, start, [rows[k][0] for k in keep])
+    return Tests(h, np.append(_key(h), np.zeros(max(3, p.min_words), dtype=np.uint64)), suffix, item, need, start, [rows[k][0] for k in keep])
 
 
 def _bound(key: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, off: int, target: np.ndarray, right: bool) -> np.ndarray:

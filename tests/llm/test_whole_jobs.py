@@ -6,7 +6,7 @@ import time
 
 import pyarrow as pa
 
-from tarnwell.llm import html_text, minhash, queries
+from tarnwell.llm import decontam, html_text, minhash, queries
 
 
 # HTML
@@ -80,3 +80,15 @@ def test_near_duplicate_query_has_every_pair(spark, tmp_path):
         got = [tuple(r) for r in got.collect()]
         assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
     assert minhash.near_pairs(df).count() < len(want)
+
+
+# decontamination
+
+
+def test_last_item_may_be_the_shortest():
+    first, last = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 20), ("b", 8)))
+    p = decontam.Params()
+    for texts in ([f"x {first} y {last} z"], [f"{last} and {first}"], [first, last]):
+        found = [h for part in decontam.hits(pa.array(texts), decontam.make_tests([(1, first), (2, last)], p), p) for h in zip(*(x.tolist() for x in part))]
+        want = {(texts.index(t), k, n, t.split().index(item.split()[0]), 0) for k, item, n in ((0, first, 20), (1, last, 8)) for t in texts if item in t}
+        assert set(found) == want and len(found) == 2
