@@ -98,9 +98,9 @@ def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("vector_probed_topk")
 def vector_probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by k-means cells: approximate."""
+    """The nearest vectors of every vector, by k-means cells: approximate."""
     celled, centres = legs.cells(_vectors(spark, sf_dir), 16)
-    return legs.vector_probed(celled, centres, _items(spark, sf_dir), 10, 0.1, 13)
+    return legs.vector_probed(celled, centres, _vectors(spark, sf_dir).withColumnRenamed("id", "query_id"), 10, 0.1, 13)
 
 
 # keywords
