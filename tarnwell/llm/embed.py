@@ -2,20 +2,23 @@
 
 A vector of unit length is turned by several random rotations; the signs are its code x', and <x', x> its stored correction factor f.
 For another vector y, <x', y> / f is an unbiased estimate of <x, y>, with a standard error of sqrt(1 - <x, y>^2) sqrt(1 - f^2) / f / sqrt(bits). A pair whose
-estimate lies above the confidence interval of a pair right at the threshold is accepted, one below it is rejected, and only what lies
-within is recomputed from the vectors.
-
-Candidates are pairs that agree in all bits of one of ``bands`` groups of bits. Two vectors of the threshold's angle agree in a bit with probability
-1 - angle / pi; with the default numbers, 0.90 of the pairs right at the threshold are met, and more than 0.99 of those of cosine 0.94 or
-more. Groups that only one vector has are dropped before codes travel. A pair that meets in several bands is
-looked at in the first. Groups of any size are compared in blocks.
-
-Defined results: null vectors, and those with a null, an infinite or a NaN component or of length 0, have no direction and no partners; vectors of
-different dimension aren't compared; rows without vec_id are left out; a vec_id that is repeated has the partners of any of its vectors.
+estimate lies above the confidence interval of a pair right at the threshold is linked, one below it is not, and what lies
+within is recomputed from the vectors, where the pair is met.
+
+Candidates are pairs that agree in all bits of one of several bands, each of which takes bits of the code at random places. The bits of a band follow the number of
+vectors, so that unrelated vectors seldom meet, and the number of bands follows from these and from ``recall``: two vectors of the threshold's angle agree in a
+bit with probability 1 - angle / pi. So bands grow with about the power 0.22 of the number of vectors, and recall is the same at every size. A pair that meets in several
+bands is looked at in the first. Keys that only one vector has are dropped before codes travel; groups of any size are compared in blocks; equal vectors
+are one, with their number. Pairs are never rows: a task hands on how many links its vectors have and a forest of what is connected.
+
+Defined results: null vectors, and those with a null, an infinite or a NaN component or of length 0, have no direction and no links; vectors of
+different dimension aren't compared; rows without vec_id are left out; rows of one vec_id are one, whose number of links is the sum over its distinct vectors (should two of
+these be linked, each counts the other), and whose class is that of all of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,11 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .pairs import blocked, by_part, part_pairs
-from .spill import cut
-from .words import mix, tidied
+from .pairs import BLOCK, HOT, Linked, blocked, by_key, by_part, components, part_pairs
+from .spill import Scratch, cut
+from .words import tidied
 
 PAIRS_AT_ONCE = 1 << 15
 
@@ -35,10 +38,27 @@ PAIRS_AT_ONCE = 1 << 15
 @dataclass(frozen=True)
 class Params:
     threshold: float = 0.9
-    bands: int = 51
-    band_bits: int = 20
-    confidence: float = 4.0  # standard errors
+    code_bits: int = 1024  # at least; a multiple of the dimension
+    recall: float = 0.98  # of pairs right at the threshold; that of closer ones is higher
+    spare_bits: int = 4  # a band has so many bits more than the number of vectors has
+    confidence: float = 5.0  # standard errors
     seed: int = 7
+    block: int = BLOCK  # vectors of a group that are compared at once
+    hot: int = HOT  # rows of a key above which it doesn't go into one task
+
+
+def bands(vectors: int, p: Params) -> tuple[int, int]:
+    """(bits of a band, bands) for so many vectors."""
+    bits = max(8, min(40, math.ceil(math.log2(max(2, vectors))) + p.spare_bits))
+    agree = (1 - math.acos(p.threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - p.recall) / math.log1p(-agree) * 1.1)  # bands share bits: a tenth more
+
+
+@lru_cache(maxsize=8)
+def places(size: int, shape: tuple[int, int], p: Params) -> np.ndarray:
+    """bands x bits places in a code of that size, different ones within a band."""
+    rng = np.random.default_rng([p.seed, size, *shape])
+    return np.stack([rng.permutation(size)[: shape[0]] for _ in range(shape[1])])
 
 
 @lru_cache(maxsize=8)
@@ -46,7 +66,7 @@ def frame(dim: int, p: Params) -> np.ndarray:
     """Random rotations below each other, as many as the code's bits need: bits x dim."""
     rng = np.random.default_rng([p.seed, dim])
     turns = []
-    for _ in range(-(-p.bands * p.band_bits // dim)):
+    for _ in range(-(-p.code_bits // dim)):
         q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
         turns.append(q * np.sign(np.diag(r)))
     return np.concatenate(turns).astype(np.float32)
@@ -68,10 +88,13 @@ def codes(x: np.ndarray, p: Params) -> Codes:
     return Codes((turned > 0).astype(np.uint8), factor, np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, n - n // x.shape[1])))
 
 
-def keys(bits: np.ndarray, p: Params) -> np.ndarray:
+def keys(bits: np.ndarray, shape: tuple[int, int], p: Params) -> np.ndarray:
     """n x bands integers."""
-    weights = np.int64(1) << np.arange(p.band_bits, dtype=np.int64)
-    return bits[:, : p.bands * p.band_bits].reshape(len(bits), p.bands, p.band_bits) @ weights
+    weights = np.int64(1) << np.arange(shape[0], dtype=np.int64)
+    out = np.empty((len(bits), shape[1]), dtype=np.int64)
+    for k, at in enumerate(places(bits.shape[1], shape, p)):
+        out[:, k] = bits[:, at] @ weights
+    return out
 
 
 def _unit(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,113 +107,115 @@ def _unit(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         norm = np.sqrt((x * x).sum(axis=1))
         ok = np.isfinite(norm) & (norm > 0)
         if ok.any():
-            yield rows[ok], (x[ok] / norm[ok, None]).astype(np.float32)
+            yield rows[ok], x[ok] / norm[ok, None]
 
 
-def _coded(embeddings: DataFrame, p: Params) -> DataFrame:
-    """(node, vec_id, dim, bits, small, scale, loss, factor): the code, the vector in 8 bits a component, and how much that lost."""
+def _coded(owner: DataFrame, p: Params) -> DataFrame:
+    """(node, vec_id, size, dim, code, factor, vector): the bits of the code as bytes, its correction factor, and the vector at unit length as doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                for rows, x in _unit(part.column(1)):
-                    scale = np.abs(x).max(axis=1) / 127
-                    small = np.rint(x / scale[:, None]).astype(np.int8)
-                    loss = np.sqrt(((x - small * scale[:, None]) ** 2).sum(axis=1))
-                    code = codes(x, p)
-                    bits, factor = np.packbits(code.bits, axis=1), code.factor
-                    node = np.ascontiguousarray(x).view(np.uint32).astype(np.uint64)
-                    node = mix((node * (np.arange(node.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(axis=1, dtype=np.uint64))
-                    ids = part.column(0).take(pa.array(rows))
-                    node = mix(node ^ mix(ids.to_numpy().astype(np.uint64))).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node), ids, pa.array(np.full(len(rows), x.shape[1], dtype=np.int32)), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale, pa.float32()), pa.array(loss, pa.float32()), pa.array(factor, pa.float32())],
-                        names=["node", "vec_id", "dim", "bits", "small", "scale", "loss", "factor"],
-                    )
-
-    schema = "node long, vec_id long, dim int, bits binary, small binary, scale float, loss float, factor float"
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id is not null").mapInArrow(tidied(run), schema)
+                for rows, x in _unit(part.column(3)):
+                    code = codes(x.astype(np.float32), p)
+                    packed = np.packbits(code.bits, axis=1)
+                    own = part.take(pa.array(rows))
+                    columns = [own.column(0), own.column(1), own.column(2), pa.array(np.full(len(rows), x.shape[1], dtype=np.int32)), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(code.factor, pa.float32()), pa.array([r.tobytes() for r in x], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "vec_id", "size", "dim", "code", "factor", "vector"])
+
+    return owner.select("node", "vec_id", "size", "embedding").mapInArrow(tidied(run), "node long, vec_id long, size long, dim int, code binary, factor float, vector binary")
 
 
 def _bits(column: pa.Array, dim: int, p: Params) -> np.ndarray:
-    n = -(-p.bands * p.band_bits // dim) * dim
     raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
-    return np.unpackbits(raw, axis=1)[:, :n]
+    return np.unpackbits(raw, axis=1)[:, : -(-p.code_bits // dim) * dim]
 
 
-def _posted(coded: DataFrame, p: Params) -> DataFrame:
-    """(node, key): a row for each band, the band's number and the dimension being part of the key."""
+def _posted(coded: DataFrame, shape: tuple[int, int], p: Params) -> DataFrame:
+    """(node, key): a row for each band; the band's number and the dimension are part of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column(1).to_numpy()
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                part = b.take(pa.array(rows))
-                k = keys(_bits(part.column(2), int(dim), p), p) | (np.arange(p.bands, dtype=np.int64) << np.int64(p.band_bits)) | np.int64(int(dim) << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), p.bands)), pa.array(k.ravel())], names=["node", "key"])
-
-    return coded.select("node", "dim", "bits").mapInArrow(tidied(run), "node long, key long")
+                part = b.take(pa.array(np.flatnonzero(dims == dim)))
+                for at in range(0, part.num_rows, 2048):
+                    own = part.slice(at, 2048)
+                    k = keys(_bits(own.column(2), int(dim), p), shape, p) | (np.arange(shape[1], dtype=np.int64) << np.int64(shape[0])) | np.int64(int(dim) << 50)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.column(0).to_numpy(), shape[1])), pa.array(k.ravel())], names=["node", "key"])
 
+    return coded.select("node", "dim", "code").mapInArrow(tidied(run), "node long, key long")
 
-def _compare(p: Params):
-    schema = "vec_a long, vec_b long, estimate double, decided boolean"
 
+def _compare(shape: tuple[int, int], p: Params):
     def run(b: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         dims = b.column("dim").to_numpy()
         runs = np.cumsum(size) - size
-        for dim in np.unique(dims[runs]):
-            own = np.flatnonzero(dims == dim)
-            part, own_size = b.take(pa.array(own)), size[dims[runs] == dim]
-            ids, side, key = (part.column(c).to_numpy() for c in ("vec_id", "side", "key"))
-            first = np.cumsum(own_size) - own_size
-            crossing = np.repeat(np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first), own_size)
-            bits = _bits(part.column("bits"), int(dim), p)
-            band_keys, band = keys(bits, p).astype(np.int32), (key >> p.band_bits) & ((1 << (40 - p.band_bits)) - 1)
+        for dim in map(int, np.unique(dims[runs])):
+            part, own = b.take(pa.array(np.flatnonzero(dims == dim))), size[dims[runs] == dim]
+            ids, node, copies, side, key, factor = (part.column(c).to_numpy() for c in ("vec_id", "node", "size", "side", "key", "factor"))
+            across = part.column("across").to_numpy(zero_copy_only=False)
+            bits = _bits(part.column("code"), dim, p)
+            band_keys, band = keys(bits, shape, p), (key >> shape[0]) & ((1 << (50 - shape[0])) - 1)
             n = bits.shape[1]
             signs = (bits.astype(np.float32) * 2 - 1) / np.sqrt(np.float32(n))
-            small = np.frombuffer(b"".join(part.column("small").to_pylist()), dtype=np.int8).reshape(len(own), dim)
-            x = small * part.column("scale").to_numpy()[:, None]
-            turned = x @ frame(int(dim), p).T / np.sqrt(np.float32(n / dim))
-            factor, loss = part.column("factor").to_numpy().astype(float), part.column("loss").to_numpy().astype(float)
-            error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, n - n // int(dim)))
-            across = np.sqrt(max(0.0, 1 - p.threshold**2))
-            for i, j in part_pairs(own_size, PAIRS_AT_ONCE):
-                ok = ((side[i] != side[j]) | ~crossing[i]) & (ids[i] != ids[j])
+            x = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(-1, dim)
+            turned = x.astype(np.float32) @ frame(dim, p).T / np.sqrt(np.float32(n / dim))
+            factor = factor.astype(float)
+            error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, n - n // dim))
+            # the error lies in y's part across x, which at the threshold is sqrt(1 - t^2) long; the interval is that of a pair right at the threshold
+            margin = p.confidence * np.sqrt(max(0.0, 1 - p.threshold**2)) * error
+            linked = Linked(ids, copies)
+            for i, j in part_pairs(own, PAIRS_AT_ONCE):
+                ok = (side[i] != side[j]) | ~across[i]
                 i, j = i[ok], j[ok]
-                same = band_keys[i] == band_keys[j]
-                ok = same.argmax(axis=1) == band[i]
+                ok = (band_keys[i] == band_keys[j]).argmax(axis=1) == band[i]
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                one = np.einsum("ij,ij->i", signs[i], turned[j]) / factor[i]
-                two = np.einsum("ij,ij->i", signs[j], turned[i]) / factor[j]
-                estimate = (one + two) / 2
-                # the error lies in y's part across x, which at the threshold is sqrt(1 - t^2) long; the interval is that of a pair right at the threshold
-                bound = p.confidence * across * np.maximum(error[i], error[j]) + np.maximum(loss[j] / factor[i], loss[i] / factor[j])
-                near = estimate + bound >= p.threshold
-                i, j, estimate, bound = i[near], j[near], estimate[near], bound[near]
-                lo, hi = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(estimate.astype(float)), pa.array(estimate - bound >= p.threshold)], names=["vec_a", "vec_b", "estimate", "decided"])
-
-    return run, schema
-
-
-def near_pairs(embeddings: DataFrame, p: Params = Params()) -> DataFrame:
-    """(vec_a, vec_b, similarity, exact), vec_a < vec_b: pairs of a cosine of ``threshold`` or more. Where exact is false, similarity is the estimate."""
-    coded = cut(_coded(embeddings, p))
-    shared = _posted(coded, p).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1").drop("_n")
-    fn, schema = _compare(p)
-    met = cut(by_part(blocked(shared.join(coded, "node"), "key", "node"), "key", fn, schema))
-    best = met.groupBy("vec_a", "vec_b").agg(F.max("decided").alias("decided"), F.max("estimate").alias("similarity"))
-    sure = best.where("decided").select("vec_a", "vec_b", "similarity", F.lit(False).alias("exact"))
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("_id"), F.col("embedding").cast("array<double>").alias("_v"))
-    open_ = best.where("not decided").select("vec_a", "vec_b")
-    both = open_.join(vectors.select(F.col("_id").alias("vec_a"), F.col("_v").alias("x")), "vec_a").join(vectors.select(F.col("_id").alias("vec_b"), F.col("_v").alias("y")), "vec_b").where(F.size("x") == F.size("y"))
-    total = lambda z: F.aggregate(z, F.lit(0.0), lambda a, v: a + v)
-    dot = lambda a, b: total(F.zip_with(a, b, lambda s, t: s * t))
-    norm = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
-    cosine = F.when(norm > 0, dot(F.col("x"), F.col("y")) / norm)
-    exact = both.select("vec_a", "vec_b", cosine.alias("similarity")).where(~F.isnan("similarity") & (F.col("similarity") >= p.threshold)).groupBy("vec_a", "vec_b").agg(F.max("similarity").alias("similarity"))
-    return sure.unionByName(exact.withColumn("exact", F.lit(True)))
+                estimate = (np.einsum("ij,ij->i", signs[i], turned[j]) / factor[i] + np.einsum("ij,ij->i", signs[j], turned[i]) / factor[j]) / 2
+                bound = np.maximum(margin[i], margin[j])
+                near = estimate - bound >= p.threshold
+                open_ = np.flatnonzero(~near & (estimate + bound >= p.threshold))
+                near[open_] = np.einsum("ij,ij->i", x[i[open_]], x[j[open_]]) >= p.threshold
+                linked.exact += np.bincount(i[open_], minlength=len(ids)) + np.bincount(j[open_], minlength=len(ids))
+                linked.add(i[near], j[near])
+            yield linked.rows(node)
+
+    return run
+
+
+def _links(coded: DataFrame, shape: tuple[int, int], p: Params, s: Scratch) -> DataFrame:
+    """(node, n, exact, u, v) as ``pairs.FOUND``: links of each vector, weighted by the ids that have the other one, and a forest of owners' vec_ids."""
+    posts = _posted(coded, shape, p)
+    n = s.cut(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = by_key(posts, n, "key", hot=p.hot).select("node", "key")
+    return s.cut(by_part(blocked(shared.join(coded, "node"), "key", "node", n.where(F.col("n") > p.block), p.block), "key", _compare(shape, p)))
+
+
+def classes(embeddings: DataFrame, p: Params = Params()) -> DataFrame:
+    """(vec_id, class_id, n_links, n_exact) of every vec_id: the smallest vec_id that it is connected with, how many vectors of other rows have a cosine of ``threshold``
+    or more with its own, and for how many the estimate left that open, so that they were recomputed."""
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).where("vec_id is not null")
+    element = "double" if dict(embeddings.dtypes)["embedding"] == "array<double>" else "float"
+    rows = rows.withColumn("embedding", F.col("embedding").cast(f"array<{element}>")).withColumn("node", F.xxhash64("embedding"))
+    valid = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    have = rows.where(valid)
+    with Scratch(embeddings.sparkSession) as s:
+        owner = have.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.countDistinct("vec_id").alias("size")).withColumn("node", F.xxhash64("embedding"))
+        coded = s.cut(_coded(owner, p))
+        found = _links(coded, bands(coded.count(), p), p, s)
+        links = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n_links"), F.sum("exact").alias("n_exact"))
+        edges = found.where("u is not null").select("u", "v")
+        several = s.cut(have.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("vec_id"))
+        if not several.isEmpty():  # ids of several vectors connect the classes of these
+            own = have.join(several, "vec_id", "left_semi").select(F.col("vec_id").alias("u"), "node").distinct()
+            edges = edges.unionByName(by_key(own, coded.select("node", F.col("vec_id").alias("v"), "size"), "node", "size", p.hot).select("u", "v"))
+        group = components(edges, "u", "v").withColumnRenamed("id", "vec_id")
+        reps = coded.select("node", "vec_id", "size").join(links, "node", "left").where("size > 1 or n_links > 0 or n_exact > 0").join(group, "vec_id", "left")
+        reps = s.cut(reps.select("node", "vec_id", "size", F.coalesce("group", "vec_id").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("n_exact", F.lit(0)).alias("n_exact")))
+        copies = by_key(have.select("node", F.col("vec_id").alias("id")), reps.where("size > 1"), "node", "size", p.hot).where("id <> vec_id").select("node", F.col("id").alias("vec_id"), "class_id", "n_links", "n_exact").distinct()
+        rest = rows.select(F.lit(None).cast("long").alias("node"), "vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_exact"))
+        all_ = reps.select(rest.columns).unionByName(copies).unionByName(rest)
+        return cut(all_.groupBy("vec_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").cast("long").alias("n_links"), F.sum("n_exact").cast("long").alias("n_exact")))

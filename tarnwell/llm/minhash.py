@@ -1,20 +1,23 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 A document's signature has one minimum for each of ``coordinates`` hash functions over its word shingles. Documents are posted
-under each (coordinate, value); a pair is kept that collides in ``least`` coordinates or more. Three exact rules keep the
+under each (coordinate, value); a pair is linked that collides in ``least`` coordinates or more. Three exact rules keep the
 posting lists that are merged short:
 
-* documents of equal signatures have the same partners: one posting stands for all of them;
+* documents of equal signatures have the same partners: one posting, of their number, stands for all of them;
 * a value that nobody else has can't collide: such postings are skipped, and so are documents left with fewer than ``least``;
 * of the m postings left to a document, sorted from the rarest, a partner must share one of the first m - least + 1 (the
   prefix). Only those lists are merged; the long lists behind them are skipped over, by comparing signatures in place.
 
 A pair that meets under several values is counted under the first of its common prefix values only. Lists of any length are
-merged in blocks (``pairs.blocked``), so no list is cut short and none has to fit into one task.
-
-Defined results: documents without words (null, empty) have no signature and no partners; a document shorter than a shingle
-is one shingle; rows that share a doc_id are one document, whose pairs are those of any of its texts; rows without doc_id are
-left out of pairs and never dropped.
+merged in blocks (``pairs.blocked``), so no list is cut short and none has to fit into one task. Pairs are never rows: a task hands on
+how many links its documents have and a forest of what is connected. Numbers of postings come from aggregates, which combine
+before they shuffle, and go back by ``pairs.by_key``, which splits hot values.
+
+Defined results: documents without words (null, empty) have no signature and no links; a document shorter than a shingle
+is one shingle; links are counted between the distinct signatures of distinct ids: rows that share a doc_id are one document, whose number of links
+is the sum over its signatures (should two of these collide, each counts the other), and whose class is that of all its texts; rows without doc_id have no
+links and are never dropped.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .pairs import blocked, by_part, components, part_pairs
-from .spill import cut
+from .pairs import BLOCK, HOT, Linked, blocked, by_key, by_part, components, part_pairs
+from .spill import Scratch, cut
 from .words import grams, mix, slices, tidied, words
 
 PAIRS_AT_ONCE = 1 << 17
@@ -40,7 +43,8 @@ class Params:
     least: int = 26  # collisions that make a pair: a Jaccard similarity of about 0.54
     seed: int = 1
     broadcast_ids: int = 2_000_000
-    block_ids: int = 512  # ids on a side of a pair of signatures that are expanded at once
+    block: int = BLOCK  # rows of a posting list that are merged at once
+    hot: int = HOT  # rows of a value above which it doesn't go into one task
 
 
 def signatures(texts: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -105,91 +109,67 @@ def _matrix(sig: pa.Array, p: Params) -> np.ndarray:
 
 
 def _merge(p: Params):
-    schema = "doc_a long, doc_b long, matches int"
-
     def run(b: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        doc, side, bits, feature = (b.column(k).to_numpy() for k in ("doc_id", "side", "prefix", "feature"))
+        doc, side, bits, feature, copies, node = (b.column(k).to_numpy() for k in ("doc_id", "side", "prefix", "feature", "size", "node"))
         at = (feature >> 32).astype(np.uint64)
         sig = _matrix(b.column("sig"), p)
-        crossing = np.repeat(np.maximum.reduceat(side, np.cumsum(size) - size) != np.minimum.reduceat(side, np.cumsum(size) - size), size)
+        across = b.column("across").to_numpy(zero_copy_only=False)
         one = np.uint64(1)
         weights = one << np.arange(p.coordinates, dtype=np.uint64)
+        linked = Linked(doc, copies)
         for i, j in part_pairs(size, PAIRS_AT_ONCE):
-            ok = (side[i] != side[j]) | ~crossing[i]
+            ok = (side[i] != side[j]) | ~across[i]
             i, j = i[ok], j[ok]
-            if not len(i):
-                continue
             same = sig[i] == sig[j]
-            n = same.sum(axis=1)
-            ok = n >= p.least
-            i, j, n, same = i[ok], j[ok], n[ok], same[ok]
+            ok = same.sum(axis=1) >= p.least
+            i, j, same = i[ok], j[ok], same[ok]
             if not len(i):
                 continue
             common = (same * weights).sum(axis=1, dtype=np.uint64) & bits[i].view(np.uint64) & bits[j].view(np.uint64)
             ok = (common & ((one << at[i]) - one)) == 0
-            a, c = doc[i[ok]], doc[j[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(n[ok].astype(np.int32))], names=["doc_a", "doc_b", "matches"])
+            linked.add(i[ok], j[ok])
+        yield linked.rows(node)
 
-    return run, schema
+    return run
 
 
-def _owners(docs: DataFrame, p: Params) -> DataFrame:
-    """(sig, ids, doc_id, node) of every signature: all ids that have it and the smallest of them."""
-    return cut(signed(docs, p).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.collect_set("doc_id").alias("ids")).withColumn("node", F.xxhash64("sig")))
-
-
-def _near(owner: DataFrame, by: str, p: Params) -> DataFrame:
-    """(doc_a, doc_b, matches): every pair of distinct signatures that collide in ``least`` coordinates, as owner's column ``by``."""
-    reps = owner.select("node", F.col(by).alias("doc_id"), "sig")
-    shared = _postings(reps, p).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("feature"))).where("n > 1")
-    kept = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f")).where(F.size("f") >= p.least)
+def _links(owner: DataFrame, p: Params, s: Scratch) -> DataFrame:
+    """(node, n, exact, u, v) as ``pairs.FOUND``: links of each signature, weighted by the ids that have the other one, and a forest of owners' doc_ids."""
+    reps = owner.select("node", "doc_id", "size", "sig")
+    posts = _postings(reps, p)
+    n = s.cut(posts.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    kept = by_key(posts, n, "feature", hot=p.hot).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f")).where(F.size("f") >= p.least)
     prefix = kept.select("node", F.slice("f.feature", F.lit(1), F.size("f") - (p.least - 1)).alias("f"))
     bits = F.expr("aggregate(f, 0L, (x, v) -> x | shiftleft(1L, cast(shiftright(v, 32) as int)))")
-    posted = prefix.select("node", bits.alias("prefix"), "f").join(reps, "node").select("node", "doc_id", "prefix", "sig", F.explode("f").alias("feature"))
-    fn, schema = _merge(p)
-    return by_part(blocked(posted, "feature", "node"), "feature", fn, schema)
-
-
-def near_pairs(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: every pair of distinct signatures that collide in ``least`` coordinates, each
-    signature standing under its smallest doc_id, and (that id, other id, all coordinates) for the ids that share it. These
-    are enough to find groups; ``all_pairs`` has every pair."""
-    owner = _owners(docs, p)
-    same = owner.where(F.size("ids") > 1).select(F.col("doc_id").alias("doc_a"), F.explode("ids").alias("doc_b"), F.lit(p.coordinates).cast("int").alias("matches"))
-    return _near(owner, "doc_id", p).unionByName(same).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-
-
-def all_pairs(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: every pair of documents that collide in ``least`` coordinates. Pairs of signatures
-    are expanded to the ids that have them, a block of each side at a time, so that no row holds a large group. Only pairs of signatures of
-    which one has an id with several texts can give a pair twice; only theirs are shuffled again."""
-    owner = _owners(docs, p)
-    each = owner.select("node", F.explode("ids").alias("id"))
-    several = each.groupBy("id").count().where("count > 1").select("id")
-    again = each.join(several, "id", "left_semi").select("node").distinct().withColumn("again", F.lit(True))
-    block = F.expr(f"transform(sequence(0, cast(ceil(size(ids) / {p.block_ids}) as int) - 1), k -> slice(array_sort(ids), k * {p.block_ids} + 1, {p.block_ids}))")
-    side = cut(owner.select("node", "ids").join(again, "node", "left").select("node", F.coalesce("again", F.lit(False)).alias("again"), (F.size("ids") > 1).alias("copies"), F.posexplode(block).alias("k", "ids")))
-    a, b = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab")
-    near = cut(_near(owner, "node", p)).select(F.col("doc_a").alias("node_a"), F.col("doc_b").alias("node_b"), "matches").join(a, "node_a").join(b, "node_b")
-    same = a.where("copies_a").join(b.where("copies_b"), (F.col("node_a") == F.col("node_b")) & (F.col("k_a") <= F.col("k_b"))).withColumn("matches", F.lit(p.coordinates).cast("int"))
-    sides = near.unionByName(same.select(near.columns)).select("ids_a", "ids_b", "matches", (F.col("again_a") | F.col("again_b")).alias("again"), ((F.col("node_a") == F.col("node_b")) & (F.col("k_a") == F.col("k_b"))).alias("itself"))
-
-    def ids(rows: DataFrame) -> DataFrame:
-        x = rows.select(F.explode("ids_a").alias("x"), "ids_b", "matches", "itself").select("x", F.explode("ids_b").alias("y"), "matches", "itself")
-        return x.where("x < y or (x > y and not itself)").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "matches")
-
-    return ids(sides.where("not again")).unionByName(ids(sides.where("again")).groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches")))
-
-
-def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(id, group) of all documents that have a near-duplicate; group is the smallest id of the connected group."""
-    return components(near_pairs(docs, p), "doc_a", "doc_b")
+    prefix = s.cut(prefix.select("node", bits.alias("prefix"), F.explode("f").alias("feature")))
+    large = s.cut(prefix.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.block))
+    return s.cut(by_part(blocked(prefix.join(reps, "node"), "feature", "node", large, p.block), "feature", _merge(p)))
+
+
+def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that is linked with another; class_id is the smallest doc_id that it is connected with, n_links how many
+    it is linked with itself. All links are counted, those between copies too, and none is dropped; a document that isn't listed has none and is a class of its own."""
+    with Scratch(docs.sparkSession) as s:
+        all_ = s.cut(signed(docs, p).withColumn("node", F.xxhash64("sig")))
+        owner = s.cut(all_.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("doc_id").alias("size")).withColumn("node", F.xxhash64("sig")))
+        found = _links(owner, p, s)
+        links = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n_links"))
+        edges = found.where("u is not null").select("u", "v")
+        several = s.cut(all_.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id"))
+        if not several.isEmpty():  # ids of several signatures connect the classes of these
+            own = all_.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), "node").distinct()
+            edges = edges.unionByName(by_key(own, owner.select("node", F.col("doc_id").alias("v"), "size"), "node", "size", p.hot).select("u", "v"))
+        group = components(edges, "u", "v").withColumnRenamed("id", "doc_id")
+        reps = owner.join(links, "node", "left").where("size > 1 or n_links is not null").join(group, "doc_id", "left")
+        reps = s.cut(reps.select("node", "doc_id", "size", F.coalesce("group", "doc_id").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+        copies = by_key(all_.select("node", F.col("doc_id").alias("id")), reps.where("size > 1"), "node", "size", p.hot).where("id <> doc_id").select("node", F.col("id").alias("doc_id"), "class_id", "n_links").distinct()
+        rows = reps.select("node", "doc_id", "class_id", "n_links").unionByName(copies)
+        return cut(rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").cast("long").alias("n_links")))
 
 
 def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents, in all their columns, without those of a group but its smallest doc_id. The ids to drop are broadcast if
+    """The documents, in all their columns, without those of a class but its smallest doc_id. The ids to drop are broadcast if
     there are at most ``broadcast_ids``; beyond that the documents are shuffled."""
-    g = groups(docs, p)
-    gone = g.where(F.col("id") != F.col("group")).select(F.col("id").alias("_gone"))
+    gone = classes(docs, p).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
     small = gone.count() <= p.broadcast_ids
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -1,4 +1,4 @@
-"""Pairs within groups, for groups of any size, and connected components of pairs."""
+"""Links within groups of any size, without pairs ever being rows: how many links a row has, and connected components."""
 
 from __future__ import annotations
 
@@ -6,26 +6,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .spill import cut, drop
+from .spill import Scratch, cut
 from .words import tidied
 
 BLOCK = 1024
-
-
-def blocked(rows: DataFrame, key: str, order: str, block: int = BLOCK) -> DataFrame:
-    """Adds ``part`` (an integer) and ``side``: rows of a group of at most ``block`` share one part; a larger group is cut into
-    blocks, and a row goes to the part of each pair of blocks that has its own, so that no task holds a large group and each
-    pair of rows meets in exactly one part if ``part_pairs`` is asked for it. Rows without a partner are dropped."""
-    w = Window.partitionBy(key)
-    n = F.count(F.lit(1)).over(w)
-    k = F.row_number().over(w.orderBy(order)) - 1
-    rows = rows.withColumn("_n", n).where(F.col("_n") > 1).withColumn("side", F.floor(k / block).cast("int")).withColumn("_b", F.ceil(F.col("_n") / block).cast("int"))
-    other = F.when(F.col("_b") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_b") - 1))
-    rows = rows.withColumn("_o", F.explode(other))
-    low, high = F.least("side", "_o"), F.greatest("side", "_o")
-    return rows.withColumn("part", (low.cast("long") * F.col("_b") + high)).drop("_n", "_b", "_o")
+HOT = 1_000_000  # rows of a key above which it doesn't go into one task
+BROADCAST = 2_000_000  # rows of a table that are broadcast at most
+FINISH = 500_000  # edges that one task may finish
+FOUND = "node long, n long, exact long, u long, v long"
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, n: str = "n", hot: int = HOT) -> DataFrame:
+    """Inner join of rows with a table that has one row a key and, as ``n``, how many rows have it. Keys of more than ``hot`` rows are broadcast (there can be
+    no more than rows / hot of them, and this is checked), the others are shuffled; so no task gets more than ``hot`` rows of a key."""
+    heavy = table.where(F.col(n) > hot)
+    many = heavy.limit(BROADCAST + 1).count()
+    if not many or many > BROADCAST:  # with so many, tasks get several hot keys each, whichever way
+        return rows.join(table, key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(n) <= hot), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
+def blocked(rows: DataFrame, key: str, node: str, large: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Adds ``part``, ``side`` and ``across``. large: (key, n) of the keys that more than ``block`` rows have. Their rows are dealt to blocks by a hash, and go to the part of
+    each pair of blocks that has their own; so no task holds a large group. A part of two blocks is ``across``: only pairs of different sides count there, so each pair of
+    rows meets in exactly one part. No window numbers the rows: blocks are only about equal."""
+    some = large.limit(BROADCAST + 1).count()
+    if not some:
+        return rows.withColumns({"side": F.lit(0), "part": F.lit(0).cast("long"), "across": F.lit(False)})
+    rows = rows.join(F.broadcast(large) if some <= BROADCAST else large, key, "left").withColumn("_b", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64(node), F.col("_b")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    return rows.withColumn("across", F.col("side") != F.col("_o")).withColumn("part", F.least("side", "_o").cast("long") * F.col("_b") + F.greatest("side", "_o")).drop("n", "_b", "_o")
 
 
 def part_pairs(size: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,7 +57,42 @@ def part_pairs(size: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.
         at = to
 
 
-def by_part(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+class Linked:
+    """Links among the rows of a batch, gathered without the pairs: for each row the weight of its partners, and a forest that joins what is linked."""
+
+    def __init__(self, ids: np.ndarray, weight: np.ndarray) -> None:
+        self.ids, self.at = np.unique(ids, return_inverse=True)
+        self.root, self.weight = np.arange(len(self.ids)), weight
+        self.n, self.exact = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in ((i, j), (j, i)):
+            self.n += np.bincount(a, self.weight[b], minlength=len(self.n)).astype(np.int64)
+        join(self.root, self.at[i], self.at[j])
+
+    def rows(self, node: np.ndarray) -> pa.RecordBatch:
+        """FOUND: (node, links of it, those computed exactly) and, in other rows, (id, smallest id linked with it)."""
+        has = np.flatnonzero((self.n > 0) | (self.exact > 0))
+        nodes, which = np.unique(node[has], return_inverse=True)
+        n, exact = (np.bincount(which, x[has], minlength=len(nodes)).astype(np.int64) for x in (self.n, self.exact))
+        far = np.flatnonzero(self.root != np.arange(len(self.root)))
+        a, b = [None] * len(nodes), [None] * len(far)
+        columns = [nodes.tolist() + b, n.tolist() + b, exact.tolist() + b, a + self.ids[far].tolist(), a + self.ids[self.root[far]].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "exact", "u", "v"])
+
+
+def join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the trees of x and y, pair by pair; roots are the smallest of a tree, and every node points to its root."""
+    while len(x):
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def by_part(rows: DataFrame, key: str, fn: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str = FOUND) -> DataFrame:
     """fn(batch, lengths of its runs) over the rows of each (key, part), many parts at a time, none of them split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,29 +123,33 @@ def _with_last(it: Iterator) -> Iterator[tuple[bool, object]]:
     yield True, prev
 
 
-def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str, finish: int = FINISH, hot: int = HOT) -> DataFrame:
     """(id, group) of every id in the pairs (a, b); group is the smallest id that it is connected with.
 
-    Alternating large-star and small-star steps, in a number of rounds that grows with the logarithm of the longest chain.
-    Null ids are left out."""
+    Alternating large-star and small-star steps, in a number of rounds that grows with the logarithm of the longest chain; a node of any degree is
+    met by aggregates and ``by_key``, never by a window. Once there are at most ``finish`` edges, one task does the rest. Null ids are left out."""
     schema = "u long, v long"
     found = pairs.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut(found.mapInArrow(tidied(_forest), schema).distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct().select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = down.select("u", "v", m.alias("m"))
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        new = cut(small.mapInArrow(tidied(_forest), schema).distinct())
-        # stars: nobody has two neighbours above it and below it at once, and everybody below has one
-        done = new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty()
-        drop(edges)
-        edges = new
-        if done:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
+    with Scratch(pairs.sparkSession) as s:
+        edges = s.cut(found.mapInArrow(tidied(_forest), schema).distinct())
+        while edges.limit(finish + 1).count() > finish:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = s.cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+            down = s.cut(by_key(both.where("v > u"), low, "u", hot=hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            low = s.cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+            up = by_key(down, low, "u", hot=hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            edges = s.cut(up.unionByName(low.select("u", F.col("m").alias("v"))).mapInArrow(tidied(_forest), schema).distinct())
+            # stars: nobody has neighbours above it and below it at once, and everybody above has one
+            if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+                break
+        else:
+            edges = edges.coalesce(1).mapInArrow(tidied(lambda batches: _forest(_whole(batches))), schema)
+        return cut(edges.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct()))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if parts := list(batches):
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +157,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
         ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        x, y = at[: len(u)], at[len(u) :]
         root = np.arange(len(ids))
-        while True:
-            rx, ry = root[x], root[y]
-            if (rx == ry).all():
-                break
-            np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-            while (root[root] != root).any():
-                root = root[root]
+        join(root, at[: len(u)], at[len(u) :])
         far = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], names=["u", "v"])

@@ -74,8 +74,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicates."""
-    return minhash.all_pairs(_table(spark, sf_dir, "documents"))
+    """Class and number of links of every document that has a near-duplicate."""
+    return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near-duplicate embeddings."""
-    return embed.near_pairs(_table(spark, sf_dir, "embeddings")).select("vec_a", "vec_b")
+    """Class and number of links of every embedding."""
+    return embed.classes(_table(spark, sf_dir, "embeddings")).drop("n_exact")
 
 
 OP10_SQL = """
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9
+WITH RECURSIVE p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9
+), r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT a AS vec_id, min(b) AS class_id, any_value(coalesce(n, 0)) AS n_links FROM r LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) USING (a) GROUP BY a
 """
 
 

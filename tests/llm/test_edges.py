@@ -68,8 +68,7 @@ def test_queries_on_ugly_rows(spark, ugly, labels, benchmark):
     assert decontam.matches(ugly, benchmark).count() == 0
     assert [r["kind"] for r in pii.spans(ugly, pii.fit(ugly)).collect()] == ["email"]
     assert licenses.spans(ugly).count() == 0
-    pairs = {(r["doc_a"], r["doc_b"]) for r in minhash.near_pairs(ugly).collect()}
-    assert {(4, 5), (4, 6)} <= pairs and all(a < b for a, b in pairs)
+    assert {tuple(r) for r in minhash.classes(ugly).collect()} == {(4, 4, 2), (5, 4, 2), (6, 4, 2)}
 
 
 def test_empty_tables(spark, labels, benchmark):
@@ -80,12 +79,12 @@ def test_empty_tables(spark, labels, benchmark):
     one = docs(spark, [(1, "a text")])
     for df in stages(spark, one, no_labels, no_items):
         assert df.count() == 1
-    assert bpe.encode(none).count() == 0 and licenses.spans(none).count() == 0 and minhash.near_pairs(none).count() == 0
+    assert bpe.encode(none).count() == 0 and licenses.spans(none).count() == 0 and minhash.classes(none).count() == 0
     assert store.verify(spark, store.write(none)).count() == 0 and decontam.matches(none, benchmark).count() == 0
     assert pii.spans(none, pii.fit(none)).count() == 0 and toxicity.score(none, toxicity.fit(none, labels)).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-    assert embed.near_pairs(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert embed.classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
 def test_pages(spark):
@@ -110,8 +109,8 @@ def test_embeddings(spark):
     v = [1.0] + [0.0] * 7
     rows = [(1, v), (2, v), (2, v), (3, None), (4, [0.0] * 8), (5, [float("nan")] + v[1:]), (6, [1.0, 0.0]), (None, v), (7, [None] + v[1:]), (8, []), (9, [float("inf")] + v[1:]), (10, [-x for x in v])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit(1)).withColumn("key", F.lit("k"))
-    got = embed.near_pairs(df).collect()
-    assert [(r["vec_a"], r["vec_b"]) for r in got] == [(1, 2)]
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in embed.classes(df).collect()}
+    assert got == {i: (1, 1) if i in (1, 2) else (i, 0) for i in range(1, 11)}
 
 
 def test_run_writes_every_stage(spark, tmp_path):

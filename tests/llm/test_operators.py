@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -10,8 +11,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, chat, decontam, embed, html_text, licenses, minhash, pairs, pii, store, toxicity
-from tarnwell.llm.words import words
+from tarnwell.llm import bpe, chat, decontam, embed, html_text, licenses, minhash, pairs, pii, queries, store, toxicity
+from tarnwell.llm.words import grams, mix, mix_int, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -251,26 +252,90 @@ def test_severity_is_ordered(spark):
 # near-duplicates
 
 
-def test_near_pairs_are_those_of_all_signatures(spark):
-    rng = random.Random(2)
-    base = [[f"v{rng.randrange(300)}" for _ in range(rng.randrange(20, 80))] for _ in range(25)]
+def brute_classes(rows, linked):
+    """{id: (class, links)} of rows (id, thing) by all pairs; linked says whether two things are. Equal rows are one."""
+    rows = list(dict.fromkeys(rows))
+    n, root = {}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, x), (j, y) in itertools.combinations(rows, 2):
+        if linked(x, y):
+            n[i], n[j] = n.get(i, 0) + 1, n.get(j, 0) + 1
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    for (i, x), (j, y) in itertools.combinations(rows, 2):
+        if i != j and x == y:  # what can't be linked with itself, such as an empty text, doesn't come here
+            assert linked(x, y)
+    return {i: (find(i), n[i]) for i in n}
+
+
+def copies_of_copies(seed, bases, words_=60):
+    rng = random.Random(seed)
     rows = []
-    for k, b in enumerate(base):
+    for _ in range(bases):
+        text = [f"v{rng.randrange(300)}" for _ in range(rng.randrange(20, words_ + 20))]
         for c in range(rng.randrange(1, 7)):
-            copy = list(b)
+            copy = list(text)
             for _ in range(rng.randrange(0, 5) * c):
                 copy[rng.randrange(len(copy))] = f"v{rng.randrange(300)}"
-            rows.append((len(rows), " ".join(copy)))
-    p = minhash.Params()
-    _, sig = minhash.signatures(pa.array([t for _, t in rows]), p)
-    want = {(i, j): int((sig[i] == sig[j]).sum()) for i, j in itertools.combinations(range(len(rows)), 2) if (sig[i] == sig[j]).sum() >= p.least}
-    got = {(r["doc_a"], r["doc_b"]): r["matches"] for r in minhash.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # documents of equal signatures stand for each other
-    first = {}
-    for i in range(len(rows)):
-        first.setdefault(sig[i].tobytes(), i)
-    rep = [first[s.tobytes()] for s in sig]
-    assert got == {(i, j): n for (i, j), n in want.items() if (rep[i] == i and rep[j] == j) or rep[j] == i}
+            rows += [" ".join(copy)] * rng.choice([1, 1, 1, 2, 5])
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("p", [minhash.Params(), minhash.Params(block=2, hot=3)])
+def test_links_are_those_of_all_signatures(spark, p):
+    texts = copies_of_copies(2, 25)
+    rows = list(enumerate(texts)) + [(0, texts[1]), (2, texts[3]), (2, texts[2]), (900, texts[0]), (900, texts[5])]  # ids of several texts, too
+    # signatures of their own: the least of each hash over the set of shingles
+    factors = [int(f) for f in mix(np.arange(1, p.coordinates + 1, dtype=np.uint64) * np.uint64(2 * p.seed + 1) << np.uint64(20)) | np.uint64(1)]
+    gram = {}
+
+    def signature(text):
+        ws = text.split()
+        own = set()
+        for k in range(max(1, len(ws) - p.shingle + 1)):
+            g = tuple(ws[k : k + p.shingle])
+            if g not in gram:
+                gram[g] = int(grams(words(pa.array([" ".join(g)])).hash, len(g))[0])
+            own.add(gram[g])
+        return tuple(mix_int(min(g * f & (2**64 - 1) for g in own)) >> 32 for f in factors)
+
+    sig = {t: signature(t) for t in set(texts)}
+    want = brute_classes([(i, sig[t]) for i, t in rows], lambda x, y: sum(map(int.__eq__, x, y)) >= p.least)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert got == want and len(got) > 60 and max(n for _, n in got.values()) > 4
+
+
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_components(spark, finish):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(1900, 1980)] + [(None, 1), (5, 5)]
+    got = {r["id"]: r["group"] for r in pairs.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "a", "b", finish, hot=20).collect()}
+    want = brute_classes([(v, v) for e in edges if None not in e and e[0] != e[1] for v in e], lambda x, y: False)
+    root = {v: v for e in edges if None not in e and e[0] != e[1] for v in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    assert not want and got == root
+
+
+def test_a_key_of_a_million_rows(spark):
+    """Signatures that all share a value, which is skipped, and copies that are one posting: linear, and no task numbers or holds them."""
+    n = 1_000_000
+    began = time.time()
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("node"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert pairs.by_key(rows, table, "k", hot=100_000).count() == n
+    assert time.time() - began < 60
+    copies = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("one text that very many documents share, word by word").alias("text"))
+    got = minhash.classes(copies).agg(F.count("*"), F.min("class_id"), F.max("class_id"), F.min("n_links"), F.max("n_links")).first()
+    assert tuple(got) == (200_000, 0, 0, 199_999, 199_999) and time.time() - began < 120
 
 
 def test_one_document_of_each_group_stays(spark):
@@ -282,14 +347,14 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_blocks_meet_once(spark):
     df = spark.range(37).select((F.col("id") % 2).alias("key"), F.col("id").alias("node"))
-    cut = pairs.blocked(df, "key", "node", block=4)
+    large = df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 4")
+    cut = pairs.blocked(df, "key", "node", large, block=4)
 
     def fn(b, size):
         side, node = b.column("side").to_numpy(), b.column("node").to_numpy()
-        first = np.cumsum(size) - size
-        cross = np.repeat(np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first), size)
+        across = b.column("across").to_numpy(zero_copy_only=False)
         for i, j in pairs.part_pairs(size, 10):
-            ok = (side[i] != side[j]) | ~cross[i]
+            ok = (side[i] != side[j]) | ~across[i]
             yield pa.RecordBatch.from_arrays([pa.array(node[i[ok]]), pa.array(node[j[ok]])], names=["a", "b"])
 
     got = sorted(tuple(sorted(r)) for r in pairs.by_part(cut, "key", fn, "a long, b long").collect())
@@ -321,23 +386,48 @@ def test_licenses_against_sql(spark):
 # embeddings
 
 
-def test_near_embeddings(spark):
-    rng = np.random.default_rng(0)
-    a = rng.standard_normal((600, 64))
+def near_vectors(seed, n, dim=64, low=0.86, high=0.97):
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((n, dim))
     a /= np.linalg.norm(a, axis=1)[:, None]
-    b = rng.standard_normal((600, 64))
+    b = rng.standard_normal((n, dim))
     b -= (b * a).sum(1)[:, None] * a
     b /= np.linalg.norm(b, axis=1)[:, None]
-    s = rng.uniform(0.86, 0.97, 600)[:, None]
-    x = np.float32(np.concatenate([a, a * s + b * np.sqrt(1 - s * s)]))
-    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
-    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    i, j = np.nonzero(np.triu(y @ y.T >= 0.9, 1))
-    want = set(zip(i.tolist(), j.tolist()))
-    got = embed.near_pairs(df).collect()
-    pairs_ = {(r["vec_a"], r["vec_b"]) for r in got}
-    assert pairs_ <= want and len(pairs_) >= 0.93 * len(want)
-    assert 0 < sum(r["exact"] for r in got) < len(got)
+    s = rng.uniform(low, high, n)[:, None]
+    return np.float32(np.concatenate([a, a * s + b * np.sqrt(1 - s * s)]))
+
+
+@pytest.mark.parametrize("p", [embed.Params(), embed.Params(block=3, hot=5)])
+def test_near_embeddings(spark, tmp_path, p):
+    """Against SQL: vectors around the threshold, a chain, a large group, and copies."""
+    x = near_vectors(0, 150)
+    rng = np.random.default_rng(1)
+    group = np.float32(x[0] + rng.standard_normal((40, 64)) * 0.02)
+    x = np.concatenate([x, group, x[:5], x[:1], group[:3] * 2])
+    rows = [(1000 - k, [float(v) for v in r]) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {a: (b, n) for a, b, n in c.execute(queries.OP10_SQL).fetchall()}
+    found = embed.classes(df, p).collect()
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in found}
+    assert set(got) == set(want) and len(got) == len(rows)
+    links = sum(n for _, n in want.values())
+    assert sum(abs(got[i][1] - want[i][1]) for i in want) <= 0.02 * links and all(got[i][1] <= want[i][1] and got[i][0] >= want[i][0] for i in want)
+    assert 0 < sum(r["n_exact"] for r in found) < links
+
+
+def test_recall_at_the_threshold(spark):
+    for n in (300, 3000):
+        x = near_vectors(5, n, low=0.9, high=0.905)
+        got = embed.classes(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")).agg(F.sum("n_links")).first()[0] / 2
+        y = x.astype(float)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        want = np.triu(y @ y.T >= 0.9, 1).sum()
+        assert 0.96 * want <= got <= want
+    shapes = [embed.bands(n, embed.Params()) for n in (10**3, 10**6, 10**9)]
+    assert [b for b, _ in shapes] == [14, 24, 34] and all(b * k < 40_000 for b, k in shapes)
 
 
 def test_estimates_are_unbiased():

@@ -1,12 +1,10 @@
 """Small cases in which an operator once did less than the whole job."""
 
-import itertools
-import random
 import time
 
 import pyarrow as pa
 
-from tarnwell.llm import decontam, html_text, minhash, queries
+from tarnwell.llm import decontam, html_text
 
 
 # HTML
@@ -53,35 +51,6 @@ def test_quotes_that_stay_open_hide_nothing_and_take_linear_time():
     assert time.process_time() - began < 20
 
 
-# near-duplicates
-
-
-def test_near_duplicate_query_has_every_pair(spark, tmp_path):
-    rng = random.Random(4)
-    rows = []
-    for _ in range(8):
-        text = [f"v{rng.randrange(300)}" for _ in range(60)]
-        for _ in range(rng.randrange(1, 5)):
-            copy = list(text)
-            copy[rng.randrange(60)] = "changed"
-            rows += [" ".join(copy)] * rng.randrange(1, 6)
-    rng.shuffle(rows)
-    rows = list(enumerate(rows)) + [(0, rows[1]), (2, rows[3]), (2, rows[2])]  # ids of several texts, too
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    p = minhash.Params(block_ids=2)
-    _, sig = minhash.signatures(pa.array([t for _, t in rows]), p)
-    want = {}
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        key, n = tuple(sorted((rows[i][0], rows[j][0]))), int((sig[i] == sig[j]).sum())
-        if key[0] != key[1] and n >= p.least:
-            want[key] = max(n, want.get(key, 0))
-    for got in (minhash.all_pairs(df, p), queries.op8_minhash_near_dedup(spark, str(tmp_path))):
-        got = [tuple(r) for r in got.collect()]
-        assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
-    assert minhash.near_pairs(df).count() < len(want)
-
-
 # decontamination
 
 
