@@ -7,7 +7,8 @@ No pre-token of the pattern contains such a place, so no merge crosses it, and t
 whole text. A text without such places grows the window to its ends: slower, and right. Decoding concatenates bytes up the tree.
 
 Leaves are encoded through the same cuts: each distinct segment of a batch is encoded once and remembered, in at most ``memo``
-entries, after which the memory is emptied.
+entries, after which the memory is emptied. Segments are found by a hash and then compared letter by letter; should two have one hash, their batch is
+encoded leaf by leaf instead.
 
 Defined results: a null text has null tokens, an empty one none; rows that repeat are encoded each; what looks like a special token
 is ordinary text.
@@ -25,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .words import mix, _pow, slices, tidied
+from .words import mix, prefix_sums, slices, tidied
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\P{White_Space})(?=\p{White_Space})")
@@ -57,9 +59,8 @@ def _kinds() -> np.ndarray:
 
 
 class Bpe:
-    def __init__(self, p: Params = Params()) -> None:
-        with open(p.tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, p: Params, vocabulary: bytes) -> None:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.p = p
         self.enc = tiktoken.Encoding("own", pat_str=p.pattern, mergeable_ranks=ranks, special_tokens={})
         self.vocabulary = max(ranks.values()) + 1
@@ -71,7 +72,8 @@ class Bpe:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
-        self.table, self.rows = np.zeros((1 << 14, 3), dtype=np.int64), 0  # where its tokens start, how many they are, and its bytes
+        self.table, self.rows = np.zeros((1 << 14, 5), dtype=np.int64), 0  # where its tokens start, how many they are, its bytes, where its letters start, how many they are
+        self.letters, self.spelt = np.zeros(1 << 16, dtype=np.uint32), 0
 
     def _learn(self, segments: list[str], hashes: list[int]) -> np.ndarray:
         """Entries of the new segments. Those that white space around them can't change are encoded in one go, a line each."""
@@ -98,7 +100,13 @@ class Bpe:
         start = np.empty(len(segments), dtype=np.int64)
         start[order] = self.used + np.cumsum(n) - n
         entry = np.arange(self.rows, self.rows + len(segments))
-        self.table[entry] = np.stack([start, count, size], axis=1)
+        letters = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)
+        while self.spelt + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.letters[self.spelt : self.spelt + len(letters)] = letters
+        length = np.array([len(x) for x in segments], dtype=np.int64)
+        self.table[entry] = np.stack([start, count, size, self.spelt + np.cumsum(length) - length, length], axis=1)
+        self.spelt += len(letters)
         self.known.update(zip(hashes, entry.tolist()))
         self.used += len(new)
         self.rows += len(segments)
@@ -122,17 +130,18 @@ class Bpe:
         new[text_start[:-1][text_start[:-1] < len(cps)]] = True
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(cps))
-        power, inverse = _pow(len(cps) + 1)
-        prefix = np.zeros(len(cps) + 1, dtype=np.uint64)
-        np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * power[: len(cps)], out=prefix[1:])
-        h = mix((prefix[end] - prefix[start]) * inverse[start])
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        prefix = prefix_sums(cps, start)
+        distinct, first, which = np.unique(mix(prefix[end] - prefix[start]), return_index=True, return_inverse=True)
         get = self.known.get
         entry = np.array([get(x, -1) for x in distinct.tolist()], dtype=np.int64)
         new = np.flatnonzero(entry < 0)
         if len(new):
             s, e = start[first[new]].tolist(), end[first[new]].tolist()
             entry[new] = self._learn([joined[x:y] for x, y in zip(s, e)], distinct[new].tolist())
+        length, own = self.table[entry, 4][which], self.table[entry, 3][which]
+        if (length != end - start).any() or (self.letters[np.repeat(own - start, length) + np.arange(len(cps))] != cps).any():  # two segments of one hash
+            each = [np.array(self.enc.encode_ordinary(t), dtype=np.int32) for t in texts]
+            return np.concatenate(each), np.append(0, np.cumsum([len(t) for t in each]))
         n, at = self.table[entry, 1][which], self.table[entry, 0][which]
         ends = np.cumsum(n)
         tokens = self.flat[np.repeat(at - ends + n, n) + np.arange(int(ends[-1]))]
@@ -202,15 +211,31 @@ class Bpe:
         return self.decode(tokens[:m]) + self.decode(tokens[m:])
 
 
-@lru_cache(maxsize=2)
-def bpe(p: Params) -> Bpe:
+_made: dict[Params, Bpe] = {}
+
+
+def vocabulary(p: Params) -> bytes:
+    with open(p.tokenizer, "rb") as f:
+        return f.read()
+
+
+def sent(spark: SparkSession, p: Params) -> Broadcast[bytes]:
+    """The vocabulary's file (one or two MB) for the executors, which need not have it."""
+    return spark.sparkContext.broadcast(vocabulary(p))
+
+
+def bpe(p: Params, file: bytes | None = None) -> Bpe:
     """The encoder of this process."""
-    return Bpe(p)
+    if p not in _made:
+        if len(_made) > 1:
+            _made.clear()
+        _made[p] = Bpe(p, vocabulary(p) if file is None else file)
+    return _made[p]
 
 
-def encoded(texts: pa.Array, p: Params) -> Iterator[tuple[int, pa.Array, list[str | None], list[np.ndarray]]]:
+def encoded(texts: pa.Array, p: Params, file: bytes | None = None) -> Iterator[tuple[int, pa.Array, list[str | None], list[np.ndarray]]]:
     """(first row, slice, its texts, their tokens), slice by slice; null counts as empty."""
-    b = bpe(p)
+    b = bpe(p, file)
     for at, part in slices(texts, p.slice_chars):
         own = part.to_pylist()
         yield at, part, own, b.encode_batch([t or "" for t in own])
@@ -219,11 +244,12 @@ def encoded(texts: pa.Array, p: Params) -> Iterator[tuple[int, pa.Array, list[st
 def encode(docs: DataFrame, p: Params = Params(), verify: bool = True) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) of every row of docs; round_trip says that decoding gives the text's bytes again (null unless
     ``verify``, and for null texts). Encoded where the document is read; nothing is shuffled."""
+    file = sent(docs.sparkSession, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = bpe(p)
+        b = bpe(p, file.value)
         for batch in batches:
-            for at, part, texts, tokens in encoded(batch.column(1), p):
+            for at, part, texts, tokens in encoded(batch.column(1), p, file.value):
                 n = np.array([len(t) for t in tokens], dtype=np.int32)
                 null = np.array([t is None for t in texts], dtype=bool)
                 offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(null, False))
@@ -236,9 +262,10 @@ def encode(docs: DataFrame, p: Params = Params(), verify: bool = True) -> DataFr
 
 def decode(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, text) from (doc_id, tokens): null for null; bytes that are no UTF-8 become U+FFFD."""
+    file = sent(rows.sparkSession, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = bpe(p)
+        b = bpe(p, file.value)
         for batch in batches:
             text = [None if t is None else b.decode(np.array(t, dtype=np.int32)).decode(errors="replace") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])

@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from .spill import cut
 from .words import slices, tidied, words
 
 SYMBOL = 21
@@ -182,20 +184,24 @@ def hits(texts: pa.Array, tests: Tests, p: Params) -> Iterator[tuple[np.ndarray,
         yield flush()
 
 
-def _passes(benchmark: DataFrame, p: Params) -> list:
-    """The benchmark as broadcasts of a checked size: one, or as many as its size asks for."""
+def _passes(benchmark: DataFrame, p: Params) -> Iterator[tuple[Broadcast, bool]]:
+    """(part of the benchmark as a broadcast of a checked size, whether it is all): one part, or as many as its size asks for. A part is collected when it is asked for
+    and given up when the next one is, so the driver never holds more than one; what is made of it must be written before."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = -(-chars // p.broadcast_chars) or 1
-    sc = benchmark.sparkSession.sparkContext
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [sc.broadcast(make_tests([tuple(r) for r in items.where(part == k).collect()], p)) for k in range(n)]
+    for k in range(n):
+        sent = benchmark.sparkSession.sparkContext.broadcast(make_tests([tuple(r) for r in items.where(part == k).collect()], p))
+        yield sent, n == 1
+        if n > 1:
+            sent.destroy()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """One row for each document and item that share a passage: its longest match and where it lies, in words from 0."""
     out = None
-    for tests in _passes(benchmark, p):
+    for tests, all_ in _passes(benchmark, p):
 
         def find(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             ids = np.array([-1 if i is None else i for i in tests.value.ids], dtype=np.int64)
@@ -212,6 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), item_id, pa.array(n.astype(np.int32)), pa.array(dw), pa.array(iw.astype(np.int32))], names=["doc_id", "item_id", "match_words", "doc_word", "item_word"])
 
         found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(find), SCHEMA)
+        found = found if all_ else cut(found)
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("match_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.match_words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
@@ -220,7 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents, in all their columns, that share no passage with the benchmark. Decided where the document is read; nothing is shuffled."""
     text_at = docs.columns.index("text")
-    for tests in _passes(benchmark, p):
+    for tests, all_ in _passes(benchmark, p):
 
         def clean(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -230,4 +237,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(tidied(clean), docs.schema)
+        docs = docs if all_ else cut(docs)
     return docs

@@ -1,11 +1,12 @@
 """License notices by diagonal voting.
 
-Every run of ``k`` words of every document is hashed; runs that occur in a template are joined, as a Spark join, to the templates'
+Every run of ``k`` words of every document is hashed, and all of these hashes are joined, as a Spark join, to the templates'
 positions. A hit votes for the diagonal document position - template position. Votes are counted by diagonal, diagonals that lie
 within ``drift`` words of the next are merged (a word more or less shifts what follows), and what was merged is verified: the words
 of the template that are covered must be ``coverage`` of it, and the span in the document not longer than ``stretch`` times the template.
 
-Before the join, tasks drop runs whose hash no template has; that loses nothing, as the join would drop them too.
+The positions are broadcast where they are few, so the hashes of a document go no further than to the join in their own task. Templates are
+the built-in ones or a table (license, text).
 
 Defined results: a null or empty text has no spans; a document shorter than k words has none; rows that share doc_id and text, or have no
 doc_id and the same text, are one; each of several notices is given; a notice inside a longer notice of the same licence isn't given again.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .words import grams, slices, tidied, words
 
@@ -58,54 +59,52 @@ class Params:
     broadcast_grams: int = 5_000_000
 
 
-def positions(spark: SparkSession, templates: tuple[tuple[str, str], ...], p: Params) -> tuple[DataFrame, np.ndarray]:
-    """(license, template, t_len, gram, t_pos) and the distinct grams, sorted."""
-    license_, template, size, gram, at = [], [], [], [], []
-    for n, (name, text) in enumerate(templates):
-        h = words(pa.array([text])).hash
-        g = grams(h, p.k)
-        license_ += [name] * len(g)
-        template += [n] * len(g)
-        size += [len(h)] * len(g)
-        gram += g.view(np.int64).tolist()
-        at += list(range(len(g)))
-    rows = list(zip(license_, template, size, gram, at))
-    return spark.createDataFrame(rows, "license string, template int, t_len int, gram long, t_pos int"), np.unique(np.array(gram, dtype=np.int64).view(np.uint64))
+def positions(templates: DataFrame, p: Params) -> DataFrame:
+    """(license, template, t_len, gram, t_pos) of templates (template, license, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, name, text in zip(*(c.to_pylist() for c in b.columns)):
+                h = words(pa.array([text], pa.string())).hash
+                g = grams(h, p.k)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array([n] * len(g), pa.int32()), pa.array([len(h)] * len(g), pa.int32()), pa.array(g.view(np.int64)), pa.array(range(len(g)), pa.int32())], names=["license", "template", "t_len", "gram", "t_pos"])
+
+    return templates.select(F.col("template").cast("int"), "license", "text").mapInArrow(tidied(run), "license string, template int, t_len int, gram long, t_pos int")
 
-def rolling(docs: DataFrame, known: np.ndarray, p: Params) -> DataFrame:
-    """(doc_id, text_hash, d_pos, gram) of the runs of k words that may be in a template."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+def rolling(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, text_hash, d_pos, gram) of all runs of k words. They leave Python as one array a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        gate = np.zeros(1 << 16, dtype=bool)
-        gate[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
         for b in batches:
             for at, part in slices(b.column(1)):
                 w = words(part)
-                g = grams(w.hash, p.k)
-                may = np.flatnonzero(gate[(g & np.uint64(0xFFFF)).astype(np.int64)])
-                if not len(may) or not len(known):
+                n = np.maximum(np.diff(w.first) - (p.k - 1), 0)
+                have = np.flatnonzero(n)
+                if not len(have):
                     continue
-                may = may[known[np.minimum(np.searchsorted(known, g[may]), len(known) - 1)] == g[may]]
-                doc = np.searchsorted(w.first, may, side="right") - 1
-                ok = may + p.k <= w.first[doc + 1]
-                may, doc = may[ok], doc[ok]
-                if len(may):
-                    rows = pa.array(at + doc)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(may - w.first[doc]), pa.array(g[may].view(np.int64))], names=["doc_id", "text_hash", "d_pos", "gram"])
+                n = n[have]
+                ends = np.cumsum(n)
+                g = grams(w.hash, p.k)[np.repeat(w.first[have] - (ends - n), n) + np.arange(int(ends[-1]))]
+                rows = pa.array(at + have)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(g.view(np.int64)))], names=["doc_id", "text_hash", "grams"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(tidied(run), "doc_id long, text_hash long, d_pos long, gram long")
-
-
-def spans(docs: DataFrame, p: Params = Params(), templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(doc_id, license, start_word, end_word, matched_words, coverage) of every verified notice; words counted from 0, end exclusive."""
-    table, known = positions(docs.sparkSession, templates, p)
-    if len(known) <= p.broadcast_grams:
+    each = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(tidied(run), "doc_id long, text_hash long, grams array<long>")
+    return each.select("doc_id", "text_hash", F.posexplode("grams").alias("d_pos", "gram")).withColumn("d_pos", F.col("d_pos").cast("long"))
+
+
+def spans(docs: DataFrame, p: Params = Params(), templates: tuple[tuple[str, str], ...] | DataFrame = TEMPLATES) -> DataFrame:
+    """(doc_id, license, start_word, end_word, matched_words, coverage) of every verified notice; words counted from 0, end exclusive. templates: pairs of licence and text,
+    or a table (license, text); rows without text match nothing."""
+    if isinstance(templates, DataFrame):
+        rows = templates.where("text is not null").select(F.row_number().over(Window.orderBy("license", "text")).alias("template"), F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text"))
+    else:
+        rows = docs.sparkSession.createDataFrame([(n, *t) for n, t in enumerate(templates)], "template int, license string, text string")
+    table = positions(rows, p)
+    if table.limit(p.broadcast_grams + 1).count() <= p.broadcast_grams:
         table = F.broadcast(table)
-    hits = rolling(docs, known, p).join(table, "gram").withColumn("diagonal", F.col("d_pos") - F.col("t_pos"))
+    hits = rolling(docs, p).join(table, "gram").withColumn("diagonal", F.col("d_pos") - F.col("t_pos"))
     who = ["doc_id", "text_hash", "license", "template", "t_len"]
     votes = hits.groupBy(*who, "diagonal").agg(F.collect_set("t_pos").alias("at"), F.min("d_pos").alias("low"), F.max("d_pos").alias("high"))
     by = Window.partitionBy(*who).orderBy("diagonal")

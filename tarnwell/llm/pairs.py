@@ -18,12 +18,12 @@ FINISH = 500_000  # edges that one task may finish
 FOUND = "node long, n long, exact long, u long, v long"
 
 
-def by_key(rows: DataFrame, table: DataFrame, key: str, n: str = "n", hot: int = HOT) -> DataFrame:
+def by_key(rows: DataFrame, table: DataFrame, key: str, n: str = "n", hot: int = HOT, most: int = BROADCAST) -> DataFrame:
     """Inner join of rows with a table that has one row a key and, as ``n``, how many rows have it. Keys of more than ``hot`` rows are broadcast (there can be
-    no more than rows / hot of them, and this is checked), the others are shuffled; so no task gets more than ``hot`` rows of a key."""
+    no more than rows / hot of them, and that they are at most ``most`` is checked), the others are shuffled; so no task gets more than ``hot`` rows of a key."""
     heavy = table.where(F.col(n) > hot)
-    many = heavy.limit(BROADCAST + 1).count()
-    if not many or many > BROADCAST:  # with so many, tasks get several hot keys each, whichever way
+    many = heavy.limit(most + 1).count()
+    if not many or many > most:  # with so many, tasks get several hot keys each, whichever way
         return rows.join(table, key)
     light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(n) <= hot), key)
     return rows.join(F.broadcast(heavy), key).unionByName(light)

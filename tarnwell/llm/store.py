@@ -4,10 +4,10 @@ A document's ids, as little-endian integers of the least width that holds the vo
 the last ``window`` ids has its low bits zero, so that equal passages give equal chunks wherever they stand. A chunk is named by
 its digest and stored once; a document is the list of its chunks' digests (its recipe) and a Merkle root over them (its manifest).
 
-Tokenising, cutting and hashing happen where a document is read. Chunks cross the network once, to their owner by digest, without
-those that a task has sent before; one table in the store's folder then holds a row for each use of a chunk, and the bytes
-only in the first. ``verify`` reads it back: every payload must have its digest, and every recipe, put in order, must be whole,
-refer to stored payloads, and hash to the root that was computed from the text.
+Tokenising, cutting and hashing happen where a document is read. The store's folder has two tables: ``recipes``, a row a document, which is never shuffled, and
+``chunks``, a row a digest. Chunks cross the network once, to their owner by digest, without those that a task has sent before, by an aggregate that combines before it
+shuffles. ``verify`` reads both back: every payload must have its digest and size, and every recipe must be whole, refer to stored chunks, and hash to the root
+that was computed from the text.
 
 Defined results: a null or empty text is a document of no ids, no chunks, and the root of the empty list; rows are documents of
 their own even if they share a doc_id or have none.
@@ -16,19 +16,21 @@ their own even if they share a doc_id or have none.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
-from .spill import cut, shared_dir
-from .words import mix, _pow, tidied
+from .pairs import by_key
+from .spill import Scratch, cut, new_folder
+from .words import mix, tidied
 
-SCHEMA = "row string, doc_id long, n_tokens int, n_chunks int, root binary, ordinal int, digest binary, n_ids int, payload binary"
+SCHEMA = "row string, doc_id long, n_tokens int, n_chunks int, root binary, digests array<binary>, sizes array<int>, payloads array<binary>"
+_R = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -43,15 +45,15 @@ class Params:
 
 
 def cuts(ids: np.ndarray, p: Params) -> list[int]:
-    """Ends of the chunks."""
+    """Ends of the chunks. The rolling hash is a polynomial of the window's ids; all that hangs on it is where to cut."""
     n = len(ids)
     if not n:
         return []
-    power, inverse = _pow(n + 1)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-    h = mix((prefix[p.window :] - prefix[: -p.window]) * inverse[: n + 1 - p.window]) if n >= p.window else np.zeros(0, dtype=np.uint64)
-    marks = np.flatnonzero((h & np.uint64((1 << p.mask_bits) - 1)) == 0) + p.window
+    h = np.zeros(max(0, n + 1 - p.window), dtype=np.uint64)
+    for k in range(p.window if len(h) else 0):
+        h *= _R
+        h += ids[k : k + len(h)].astype(np.uint64)
+    marks = np.flatnonzero((mix(h) & np.uint64((1 << p.mask_bits) - 1)) == 0) + p.window
     out, at = [], 0
     for m in [*marks.tolist(), n]:
         while m - at > p.most:
@@ -79,93 +81,98 @@ def digest(payload: bytes, p: Params) -> bytes:
 
 
 def width(p: Params) -> type:
+    """Asked on the driver only, which has the vocabulary's file."""
     return np.uint16 if bpe.bpe(p.tokens).vocabulary <= 1 << 16 else np.uint32
 
 
 def chunked(docs: DataFrame, p: Params) -> DataFrame:
-    """A row for each use of a chunk (one with null chunk for a document without), payloads left out where the task has sent them before."""
+    """A row for each document; payloads are null where the task has sent them before."""
+    kind, raw_ = width(p), bpe.sent(docs.sparkSession, p.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, sent = width(p), set()
-        schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("n_chunks", pa.int32()), ("root", pa.binary()), ("ordinal", pa.int32()), ("digest", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())])
+        sent = set()
+        task, row = TaskContext.get().partitionId(), 0  # the same if the task is run again
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for at, _, texts, tokens in bpe.encoded(b.column(1), p.tokens):
-                rows: list[tuple] = []
-                for k, (text, t) in enumerate(zip(texts, tokens)):
-                    raw, ends, start, used = t.astype(kind), cuts(t, p), 0, []
-                    for e in ends:
+            for at, part, _, tokens in bpe.encoded(b.column(1), p.tokens, raw_.value):
+                digests: list[bytes] = []
+                sizes: list[int] = []
+                payloads: list[bytes | None] = []
+                ends_, roots = [0], []
+                for t in tokens:
+                    raw, start = t.astype(kind), 0
+                    for e in cuts(t, p):
                         payload = raw[start:e].tobytes()
-                        used.append((digest(payload, p), e - start, payload))
-                        start = e
-                    name = hashlib.blake2b(f"{ids[at + k]}\0{text}".encode(), digest_size=12).hexdigest()
-                    root = merkle([u[0] for u in used], p.digest_bytes)
-                    for o, (d, n, payload) in enumerate(used or [(None, None, None)]):
-                        rows.append((name, ids[at + k], len(t), len(used), root, o, d, n, None if d in sent else payload))
+                        d = digest(payload, p)
+                        digests.append(d)
+                        sizes.append(e - start)
+                        payloads.append(None if d in sent else payload)
                         sent.add(d)
-                    if len(sent) > p.sent:
-                        sent.clear()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        start = e
+                    roots.append(merkle(digests[ends_[-1] :], p.digest_bytes))
+                    ends_.append(len(digests))
+                if len(sent) > p.sent:
+                    sent.clear()
+                ends = pa.array(ends_, pa.int32())
+                columns = [pa.array([f"{task}-{row + k}" for k in range(len(tokens))]), b.column(0).slice(at, len(part)), pa.array([len(t) for t in tokens], pa.int32()), pa.array(np.diff(ends_), pa.int32()), pa.array(roots, pa.binary())]
+                columns += [pa.ListArray.from_arrays(ends, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(sizes, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(payloads, pa.binary()))]
+                row += len(tokens)
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_chunks", "root", "digests", "sizes", "payloads"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SCHEMA)
 
 
 def write(docs: DataFrame, path: str | None = None, p: Params = Params()) -> str:
     """Writes the store and returns its folder, a new one in the shared folder unless ``path`` names it."""
-    path = path or f"{shared_dir(docs.sparkSession)}/cut-{uuid.uuid4().hex}"
-    used = chunked(docs, p).withColumn("_salt", F.when(F.col("digest").isNull(), F.col("row")))
-    first = used.withColumn("_k", F.row_number().over(Window.partitionBy("digest", "_salt").orderBy(F.col("payload").isNull())))
-    first.withColumn("payload", F.when(F.col("_k") == 1, F.col("payload"))).drop("_k", "_salt").write.parquet(path)
+    path = path or new_folder(docs.sparkSession)
+    with Scratch(docs.sparkSession) as s:
+        rows = s.cut(chunked(docs, p))
+        rows.drop("payloads").write.parquet(f"{path}/recipes")
+        uses = rows.select(F.explode(F.arrays_zip("digests", "sizes", "payloads")).alias("u")).select(F.col("u.digests").alias("digest"), F.col("u.sizes").alias("n_ids"), F.col("u.payloads").alias("payload"))
+        uses.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("payload", ignorenulls=True).alias("payload"), F.count(F.lit(1)).alias("uses")).write.parquet(f"{path}/chunks")
     return path
 
 
 def verify(spark, path: str, p: Params = Params()) -> DataFrame:
     """(doc_id, n_tokens, n_chunks, root, verified) of every row that was stored."""
-    table = spark.read.parquet(path)
+    recipes, stored = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    size = np.dtype(width(p)).itemsize
 
-    def bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.dtype(width(p)).itemsize
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wrong = [d for d, n, x in zip(*(c.to_pylist() for c in b.columns)) if digest(x, p) != d or len(x) != n * size]
-            yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.binary())], names=["digest"])
-
-    broken = table.where("payload is not null").select("digest", "n_ids", "payload").mapInArrow(tidied(bad), "digest binary").distinct()
-    uses = table.select("row", "doc_id", "n_tokens", "n_chunks", "root", "ordinal", "digest", "n_ids", F.col("payload").isNotNull().alias("here"))
-    # as the writer has it, the uses of a digest lie in one file, the payload in one row
-    lost = table.where("digest is not null").groupBy("digest").agg(F.count("payload").alias("n")).where("n <> 1").select("digest")
-    wrong = cut(broken.unionByName(lost).distinct())
-    if not wrong.isEmpty():
-        uses = uses.join(wrong.withColumn("_bad", F.lit(True)), "digest", "left")
+            ok = [x is not None and digest(x, p) == d and len(x) == n * size for d, n, x in zip(*(c.to_pylist() for c in b.columns))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["digest", "n_ids"])
+
+    sound = stored.select("digest", "n_ids", "payload").mapInArrow(tidied(good), "digest binary, n_ids int").groupBy("digest", "n_ids").count().where("count = 1")
+    uses = recipes.select("row", F.explode(F.arrays_zip("digests", "sizes")).alias("u")).select("row", F.col("u.digests").alias("digest"), F.col("u.sizes").alias("n_ids"))
+    wrong = cut(uses.select("digest", "n_ids").distinct().join(sound, ["digest", "n_ids"], "left_anti"))
+    if wrong.isEmpty():
+        recipes = recipes.withColumn("bad", F.lit(False))
     else:
-        uses = uses.withColumn("_bad", F.lit(None).cast("boolean"))
-    # rows that are repeated in doc_id and text have the same name, and as many uses of each ordinal
-    uses = uses.withColumn("_copy", F.row_number().over(Window.partitionBy("row", "ordinal").orderBy("digest")))
-    recipe = F.sort_array(F.collect_list(F.struct("ordinal", "digest", "n_ids")))
-    docs = uses.groupBy("row", "_copy", "doc_id", "n_tokens", "n_chunks", "root").agg(recipe.alias("recipe"), F.max("_bad").alias("bad"))
+        bad = uses.join(wrong, ["digest", "n_ids"], "left_semi").select("row").distinct().withColumn("bad", F.lit(True))
+        recipes = recipes.join(bad, "row", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tokens, chunks, roots, recipes, bads = (c.to_pylist() for c in b.columns)
-            ok = []
-            for t, n, root, uses_, wrong_ in zip(tokens, chunks, roots, recipes, bads):
-                own = [u for u in uses_ if u["digest"] is not None]
-                ok.append(not wrong_ and [u["ordinal"] for u in own] == list(range(n)) and sum(u["n_ids"] for u in own) == t and merkle([u["digest"] for u in own], p.digest_bytes) == root)
+            tokens, chunks_, roots, digests, sizes, bads = (c.to_pylist() for c in b.columns[1:])
+            ok = [not x and len(d) == n and sum(k) == t and merkle(d, p.digest_bytes) == root for t, n, root, d, k, x in zip(tokens, chunks_, roots, digests, sizes, bads)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.hex() for r in roots], pa.string()), pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "n_chunks", "root", "verified"])
 
-    return docs.select("doc_id", "n_tokens", "n_chunks", "root", "recipe", "bad").mapInArrow(tidied(check), "doc_id long, n_tokens int, n_chunks int, root string, verified boolean")
+    return recipes.select("doc_id", "n_tokens", "n_chunks", "root", "digests", "sizes", "bad").mapInArrow(tidied(check), "doc_id long, n_tokens int, n_chunks int, root string, verified boolean")
 
 
 def chunks(spark, path: str) -> DataFrame:
     """(digest, n_ids, payload): the unique chunks."""
-    return spark.read.parquet(path).where("payload is not null").select("digest", "n_ids", "payload")
+    return spark.read.parquet(f"{path}/chunks").select("digest", "n_ids", "payload")
 
 
 def reconstruct(spark, path: str, p: Params = Params()) -> DataFrame:
-    """(doc_id, tokens) of every row that was stored, from recipes and chunks."""
+    """(doc_id, tokens) of every row that was stored, from recipes and chunks. Chunks that very many documents use are broadcast to their uses."""
     kind = np.dtype(width(p)).newbyteorder("<")
-    uses = spark.read.parquet(path).drop("payload").withColumn("_copy", F.row_number().over(Window.partitionBy("row", "ordinal").orderBy("digest")))
-    parts = uses.join(chunks(spark, path).drop("n_ids"), "digest", "left").groupBy("row", "_copy", "doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "payload"))).alias("parts"))
+    recipes = spark.read.parquet(f"{path}/recipes").select("row", "doc_id", "digests")
+    uses = recipes.select("row", "doc_id", F.posexplode_outer("digests").alias("ordinal", "digest"))
+    held = by_key(uses.where("digest is not null"), spark.read.parquet(f"{path}/chunks").drop("n_ids"), "digest", "uses", most=100_000).select("row", "doc_id", "ordinal", "payload")
+    empty = uses.where("digest is null").select("row", "doc_id", F.lit(0).alias("ordinal"), F.lit(b"").alias("payload"))
+    parts = held.unionByName(empty).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "payload"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

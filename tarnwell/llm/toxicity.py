@@ -2,15 +2,16 @@
 
 Features of a document are its words and the words' first few letters, as 1 + log(occurrences). One weight a feature is shared
 by all thresholds: P(grade >= j) = sigmoid(w.x - theta_j), theta_1 < theta_2 < ..., and the expected severity is the sum of
-these over j. The labels say toxic or not; grade 0 is not toxic, and toxic rows are graded 1 to ``grades`` by how many of
+these over j. Labels above 1 are grades, up to ``grades``. Where labels only say toxic or not, grade 0 is not toxic, and toxic rows are graded 1 to ``grades`` by how many of
 their words bear features that screening finds typical of toxic rows (quantiles of that count among the toxic rows).
+Screening keeps features that at least ``least_rows`` toxic rows of the sample have, and of these the ``most_features`` with the largest likelihood ratio.
 
 The model is fitted on at most about ``sample_rows`` labelled rows, chosen by a hash of doc_id; scoring covers whole texts
 of all rows where they are read, and shuffles nothing.
 
 Defined results: a null or empty text has no features, hence the severity of a text without evidence; without both toxic and
 other labelled rows nothing is learnt and every severity is 0; labels that are null or lack a document are left out, and a
-document labelled twice counts as toxic if one label says so.
+document labelled twice has the highest of its labels; negative labels count as 0.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def counts(texts: pa.Array, known: np.ndarray, p: Params) -> Iterator[tuple[int,
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.greatest(F.lit(0), F.max(F.col("toxic").cast("int"))).alias("_toxic"))
     n = one.count()
     share = min(1.0, p.sample_rows / max(1, n))
     # the rest of a division by a prime is enough of a lottery, and the bound of the sample bounds what is broadcast
@@ -92,7 +93,7 @@ def _screen(rows: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic = b.column(1).to_numpy()
+            toxic = np.minimum(b.column(1).to_numpy(), 1)
             for at, part in slices(b.column(0)):
                 w = words(part)
                 doc = w.doc_of()
@@ -107,7 +108,7 @@ def _screen(rows: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
                     bad = np.add.reduceat(t, starts)
                     yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(bad.astype(np.int64)), pa.array(np.diff(np.append(starts, len(h))) - bad)], names=["f", "bad", "good"])
 
-    total = rows.agg(F.sum("_toxic").alias("bad"), F.count("_toxic").alias("n")).first()
+    total = rows.agg(F.sum(F.least("_toxic", F.lit(1))).alias("bad"), F.count("_toxic").alias("n")).first()
     bad, good = total["bad"] or 0, (total["n"] or 0) - (total["bad"] or 0)
     if not bad or not good:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
@@ -145,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         rows.unpersist()
     data.sort(key=lambda r: (r["toxic"], r["marked"], r["f"], r["n"]))  # the fit doesn't hang on the order of partitions
     toxic, marked = np.array([r["toxic"] for r in data]), np.array([r["marked"] for r in data])
-    bounds = np.quantile(marked[toxic == 1], np.arange(1, p.grades) / p.grades, method="higher")
-    grade = np.where(toxic == 1, 1 + (marked[:, None] > bounds[None, :]).sum(axis=1), 0)
+    bounds = np.quantile(marked[toxic > 0], np.arange(1, p.grades) / p.grades, method="higher")
+    grade = np.minimum(toxic, p.grades) if (toxic > 1).any() else np.where(toxic > 0, 1 + (marked[:, None] > bounds[None, :]).sum(axis=1), 0)
     row = np.repeat(np.arange(len(data)), [len(r["f"]) for r in data])
     col = np.array([x for r in data for x in r["f"]], dtype=np.int64)
     val = 1 + np.log(np.array([x for r in data for x in r["n"]], dtype=float))

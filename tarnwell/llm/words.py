@@ -1,8 +1,9 @@
 """Vectorised word streams over Arrow string batches.
 
 A word is a maximal run of letters, marks and digits (Unicode L, M, N), lower-cased one code point at a
-time. Words are represented by 64-bit polynomial hashes computed for a whole batch with a handful of NumPy
-passes, so no Python object is made per word.
+time. Words are represented by 64-bit multilinear hashes computed for a whole batch with a handful of NumPy
+passes, so no Python object is made per word: each place in a word has a random factor of its own. (With powers of one number
+as factors, texts of the Thue-Morse sequence would collide, whatever the number.)
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _TOP = 0x20000
-_R = np.uint64(0x9E3779B97F4A7C15)
-_RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SLICE_CHARS = 1 << 18
 
 
@@ -59,19 +58,6 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return inner
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["p"]) < n:
-        size = max(n, SLICE_CHARS + 65536)
-        for k, r in (("p", _R), ("i", _RINV)):
-            a = np.full(size, r, dtype=np.uint64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers["p"], _powers["i"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -82,6 +68,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_places = np.zeros(0, dtype=np.uint64)
+
+
+def places(n: int) -> np.ndarray:
+    """A factor for each place from 0 on, n or more of them."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, max(n, SLICE_CHARS + 65536) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return _places
+
+
+def prefix_sums(codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of code + 1 times the factor of the place, counted from the last start before; differences within a stretch are hashes of it."""
+    n = len(codes)
+    begun = np.zeros(n, dtype=np.int64)
+    begun[start] = start
+    np.maximum.accumulate(begun, out=begun)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * places(n + 1)[np.arange(n) - begun], out=out[1:])
+    return out
+
+
 def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
 
@@ -92,10 +100,11 @@ class Words(NamedTuple):
     end: np.ndarray
     first: np.ndarray  # index of each document's first word; one entry more than documents
     text_start: np.ndarray  # code point at which each document starts; one entry more than documents
-    prefix: np.ndarray  # prefix sums of the polynomial hash, for hashes of parts of words
+    prefix: np.ndarray  # prefix sums of the hash, for hashes of words' first letters
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * _powers["i"][start])
+        """Hashes from a word's start to a place within it."""
+        return mix(self.prefix[end] - self.prefix[start])
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -142,10 +151,8 @@ def words(arr: pa.Array) -> Words:
     inside[1:-1] = is_word
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1])) if total else np.zeros(0, dtype=np.int64)
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1 if total else np.zeros(0, dtype=np.int64)
-    power, inverse = _pow(total + 1)
-    prefix = np.zeros(total + 1, dtype=np.uint64)
-    np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * power[:total], out=prefix[1:])
-    h = mix((prefix[end] - prefix[start]) * inverse[start])
+    prefix = prefix_sums(cps, start)
+    h = mix(prefix[end] - prefix[start])
     return Words(h, start, end, np.searchsorted(start, text_start), text_start, prefix)
 
 

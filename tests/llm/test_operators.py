@@ -58,33 +58,6 @@ def test_main_text_of_page():
 # chat
 
 
-def fold(events):
-    """State by message: (role, text, since)."""
-    order = {"message": 0, "edit": 1, "regenerate": 2, "delta": 3, "delete": 4}
-    state = {}
-    per = {}
-    for e in sorted(set(events), key=lambda e: (e[1], order[e[2]], e[4], e[5])):
-        per.setdefault((e[0], e[3]), []).append(e)
-    for key, es in per.items():
-        last = max((k for k, e in enumerate(es) if e[2] != "delta"), default=0)
-        live = es[last:]
-        state[key] = (live[0][4], "".join(e[5] for e in live), min(e[1] for e in live), any(e[2] == "delete" for e in live), max((e[1] for e in es if e[2] == "regenerate"), default=None))
-    out = []
-    for (c, m), (role, text, since, gone, _) in state.items():
-        cut = max((s[4] for (c2, m2), s in state.items() if c2 == c and m2 < m and s[4] is not None), default=None)
-        if not gone and (cut is None or since > cut):
-            out.append((c, m, role, text))
-    return sorted(out)
-
-
-def test_fold_of_events(spark):
-    rng = random.Random(3)
-    log = [(rng.randrange(6), rng.randrange(40), rng.choice(["message", "delta", "delta", "edit", "regenerate", "delete"]), rng.randrange(4), "user", rng.choice("abcd")) for _ in range(400)]
-    df = spark.createDataFrame(log, "conv_id long, no long, what string, about long, role string, text string")
-    got = chat.messages(chat.events(df, seq="no", kind="what", message="about")).collect()
-    assert sorted(tuple(r) for r in got) == fold(log)
-
-
 def test_streamed_answer_is_regenerated(spark):
     log = [(1, 0, "message", 0, "user", "hi"), (1, 1, "message", 1, "assistant", "he"), (1, 2, "delta", 1, "assistant", "llo"), (1, 3, "message", 2, "user", "more"), (1, 4, "regenerate", 1, "assistant", "he"), (1, 5, "delta", 1, "assistant", "y"), (1, 6, "edit", 0, "user", "hi!")]
     df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string")
@@ -104,19 +77,27 @@ def test_store_round_trip(spark, docs):
     for r in docs.collect():
         assert tokens[r["doc_id"]] == b.enc.encode_ordinary(r["text"])
     chunks = store.chunks(spark, path).collect()
-    uses = spark.read.parquet(path).where("digest is not null")
-    assert len({bytes(c["digest"]) for c in chunks}) == len(chunks) == uses.select("digest").distinct().count() < uses.count()
+    uses = spark.read.parquet(f"{path}/recipes").select(F.explode("digests").alias("digest"))
+    assert len({bytes(c["digest"]) for c in chunks}) == len(chunks) == uses.distinct().count() < uses.count()
 
 
-def test_damage_is_found(spark, docs):
+@pytest.mark.parametrize("damage", ["payload", "size", "lost"])
+def test_damage_is_found(spark, docs, damage):
     path = store.write(docs.limit(20))
-    rows = spark.read.parquet(path).collect()
-    hit = next(k for k, r in enumerate(rows) if r["payload"] is not None)
-    bad = [r.asDict() | ({"payload": bytes(r["payload"][:-1]) + b"\x07"} if k == hit else {}) for k, r in enumerate(rows)]
+    recipes, stored = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    rows = [r.asDict() for r in stored.orderBy("digest").collect()]
+    hit = rows[len(rows) // 2]["digest"]
+    users = {r["doc_id"] for r in recipes.collect() if hit in r["digests"]}
+    if damage == "payload":
+        rows = [r | ({"payload": bytes(r["payload"][:-1]) + bytes([r["payload"][-1] ^ 1])} if r["digest"] == hit else {}) for r in rows]
+    elif damage == "size":
+        rows = [r | ({"n_ids": r["n_ids"] + 1} if r["digest"] == hit else {}) for r in rows]
+    else:
+        rows = [r for r in rows if r["digest"] != hit]
     other = path + "-damaged"
-    spark.createDataFrame(bad, spark.read.parquet(path).schema).write.parquet(other)
-    users = {r["doc_id"] for r in rows if r["digest"] == rows[hit]["digest"]}
-    assert {r["doc_id"] for r in store.verify(spark, other).collect() if not r["verified"]} == users
+    recipes.write.parquet(f"{other}/recipes")
+    spark.createDataFrame(rows, stored.schema).write.parquet(f"{other}/chunks")
+    assert users and {r["doc_id"] for r in store.verify(spark, other).collect() if not r["verified"]} == users
 
 
 @given(st.lists(st.integers(0, 50_000), max_size=3000))
