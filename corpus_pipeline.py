@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.llm import bpe, decontam, minhash, pii, toxicity
-from tarnwell.llm.spill import shared_dir
+from tarnwell.llm.spill import remove, shared_dir
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and reread as the next one's input."""
+    """All stages over documents, each written as Parquet in the shared folder and reread as the next one's input; what only a stage before needed is removed.
+
+    Documents without text, or without words, pass every stage (null tokens for a null text, none for an empty one); rows without doc_id are never taken for copies; rows that
+    share a doc_id stay or go together where copies are dropped, and are judged by their own text elsewhere; further columns, whatever their names, are carried along
+    until the last stage, and of an empty table nothing comes out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
