@@ -3,7 +3,7 @@
 A vector of unit length is turned by several random rotations; the signs are its code x', and <x', x> its stored correction factor f.
 For another vector y, <x', y> / f is an unbiased estimate of <x, y>, with a standard error of sqrt(1 - <x, y>^2) sqrt(1 - f^2) / f / sqrt(bits). A pair whose
 estimate lies above the confidence interval of a pair right at the threshold is linked, one below it is not, and what lies
-within is recomputed from the vectors, where the pair is met.
+within is recomputed from the vectors, where the pair is met. Before that, pairs go whose codes differ in more bits than those of the threshold's angle may.
 
 Candidates are pairs that agree in all bits of one of several bands, each of which takes bits of the code at random places. The bits of a band follow the number of
 vectors, so that unrelated vectors seldom meet, and the number of bands follows from these and from ``recall``: two vectors of the threshold's angle agree in a
@@ -154,38 +154,56 @@ def _compare(shape: tuple[int, int], p: Params):
         runs = np.cumsum(size) - size
         for dim in map(int, np.unique(dims[runs])):
             part, own = b.take(pa.array(np.flatnonzero(dims == dim))), size[dims[runs] == dim]
-            ids, node, copies, side, key, factor = (part.column(c).to_numpy() for c in ("vec_id", "node", "size", "side", "key", "factor"))
+            ids, node, copies, side = (part.column(c).to_numpy() for c in ("vec_id", "node", "size", "side"))
             across = part.column("across").to_numpy(zero_copy_only=False)
-            bits = _bits(part.column("code"), dim, p)
-            band_keys, band = keys(bits, shape, p), (key >> shape[0]) & ((1 << (50 - shape[0])) - 1)
-            n = bits.shape[1]
-            signs = (bits.astype(np.float32) * 2 - 1) / np.sqrt(np.float32(n))
-            x = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(-1, dim)
-            turned = x.astype(np.float32) @ frame(dim, p).T / np.sqrt(np.float32(n / dim))
-            factor = factor.astype(float)
-            error = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, n - n // dim))
-            # the error lies in y's part across x, which at the threshold is sqrt(1 - t^2) long; the interval is that of a pair right at the threshold
-            margin = p.confidence * np.sqrt(max(0.0, 1 - p.threshold**2)) * error
+            packed = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+            n = -(-p.code_bits // dim) * dim
+            whole = np.zeros((len(packed), -(-packed.shape[1] // 8)), dtype=np.uint64)
+            whole.view(np.uint8)[:, : packed.shape[1]] = packed
+            # bits in which codes of the threshold's angle differ, and the confidence interval of that
+            apart = math.acos(p.threshold) / math.pi
+            most = n * apart + p.confidence * math.sqrt(n * apart * (1 - apart))
             linked = Linked(ids, copies)
             for i, j in part_pairs(own, PAIRS_AT_ONCE):
                 ok = (side[i] != side[j]) | ~across[i]
                 i, j = i[ok], j[ok]
-                ok = (band_keys[i] == band_keys[j]).argmax(axis=1) == band[i]
+                ok = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1, dtype=np.int64) <= most
                 i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                estimate = (np.einsum("ij,ij->i", signs[i], turned[j]) / factor[i] + np.einsum("ij,ij->i", signs[j], turned[i]) / factor[j]) / 2
-                bound = np.maximum(margin[i], margin[j])
-                near = estimate - bound >= p.threshold
-                open_ = np.flatnonzero(~near & (estimate + bound >= p.threshold))
-                near[open_] = np.einsum("ij,ij->i", x[i[open_]], x[j[open_]]) >= p.threshold
-                linked.exact += np.bincount(i[open_], minlength=len(ids)) + np.bincount(j[open_], minlength=len(ids))
-                linked.add(i[near], j[near])
+                if len(i):
+                    _judge(part, dim, packed, i, j, linked, shape, p)
             yield linked.rows(node)
 
     return run
 
 
+def _judge(part: pa.RecordBatch, dim: int, packed: np.ndarray, i: np.ndarray, j: np.ndarray, linked: Linked, shape: tuple[int, int], p: Params) -> None:
+    """Links those of the pairs i, j that meet first in this band and are near: by the estimate where it is sure, by the vectors elsewhere."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = at[: len(i)], at[len(i) :]
+    n = -(-p.code_bits // dim) * dim
+    bits = np.unpackbits(packed[rows], axis=1)[:, :n]
+    own = part.take(pa.array(rows))
+    band_keys, band = keys(bits, shape, p), (own.column("key").to_numpy() >> shape[0]) & ((1 << (50 - shape[0])) - 1)
+    ok = (band_keys[x] == band_keys[y]).argmax(axis=1) == band[x]
+    i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+    signs = (bits.astype(np.float32) * 2 - 1) / np.sqrt(np.float32(n))
+    v = np.frombuffer(b"".join(own.column("vector").to_pylist()), dtype=np.float64).reshape(-1, dim)
+    turned = v.astype(np.float32) @ frame(dim, p).T / np.sqrt(np.float32(n / dim))
+    factor = own.column("factor").to_numpy().astype(float)
+    # the error lies in y's part across x, which at the threshold is sqrt(1 - t^2) long; the interval is that of a pair right at the threshold
+    margin = p.confidence * math.sqrt(max(0.0, 1 - p.threshold**2)) * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, n - n // dim))
+    for k in range(0, len(i), 4096):
+        a, b = x[k : k + 4096], y[k : k + 4096]
+        estimate = (np.einsum("ij,ij->i", signs[a], turned[b]) / factor[a] + np.einsum("ij,ij->i", signs[b], turned[a]) / factor[b]) / 2
+        bound = np.maximum(margin[a], margin[b])
+        near = estimate - bound >= p.threshold
+        open_ = np.flatnonzero(~near & (estimate + bound >= p.threshold))
+        near[open_] = np.einsum("ij,ij->i", v[a[open_]], v[b[open_]]) >= p.threshold
+        for c in (i, j):
+            linked.exact += np.bincount(c[k : k + 4096][open_], minlength=len(linked.exact))
+        linked.add(i[k : k + 4096][near], j[k : k + 4096][near])
+
+
 def _links(coded: DataFrame, shape: tuple[int, int], p: Params, s: Scratch) -> DataFrame:
     """(node, n, exact, u, v) as ``pairs.FOUND``: links of each vector, weighted by the ids that have the other one, and a forest of owners' vec_ids."""
     posts = _posted(coded, shape, p)
