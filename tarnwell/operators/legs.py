@@ -1,7 +1,7 @@
 """The search legs. Each takes documents and a frame of queries and gives (query_id, leg, rank, id, score), best first, ties by id.
 
-Queries travel to the documents: their side is broadcast after its size was checked, in as many passes as the size asks for. Only
-each task's best rows of a query are shuffled for the final ranking.
+Queries travel to the documents, a bounded number of them at a time: a batch of more is searched for in several passes, and the driver never holds more than one of
+them. A task keeps the best rows of each query over all its documents, and only these are shuffled for the final ranking.
 """
 
 from __future__ import annotations
@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import text as X, tsquery, wordsim
+from ..functions import rotation, stem, stream, text as X, tsquery
 from ..functions.languages import CJK_CODES, bm25_group_of
 
 VECTOR, KEYWORD, FTS = 0, 1, 2
@@ -39,6 +38,56 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def half_up(score: np.ndarray) -> np.ndarray:
+    """Rounded to six digits, as Spark and SQL round."""
+    return np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+
+
+Look = Callable[[pa.RecordBatch, np.ndarray, stream.Best], None]
+
+
+def scanned(docs: DataFrame, columns: list[str], queries: DataFrame, asked: list[str], at_once: int, prepare: Callable[[list[Row]], object], look: Callable[[object], Look], leg: int, k: int | None) -> DataFrame:
+    """Ranks what ``look`` finds in batches of (id, columns) for every query. prepare makes of the queries' rows what is broadcast; look(that) gives a function of a batch, its
+    ids and the best so far, to which it adds (number of the query among the rows, id, score). ``at_once`` queries go in a pass."""
+    kind, key = (dict(f.dtypes)[c] for f, c in ((docs, "id"), (queries, "query_id")))
+    arrow, arrow_id = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(docs.schema["id"].dataType)
+    spark, parts, held = docs.sparkSession, [], []
+
+    def search(rows: list[Row]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], prepare(rows)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, what = sent.value
+            best, seek = stream.Best(k), look(what)
+
+            def out() -> Iterator[pa.RecordBatch]:
+                if found := best.rows():
+                    q, i, x = found
+                    yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in q.tolist()], arrow), pa.array(i.tolist(), arrow_id), pa.array(x)], names=["query_id", "id", "score"])
+
+            for b in batches:
+                ids = b.column(0)
+                seek(b, ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else np.array(ids.to_pylist(), dtype=object), best)
+                if k is None:
+                    yield from out()
+                    best = stream.Best(None)
+            yield from out()
+
+        return docs.select("id", *columns).mapInArrow(run, f"query_id {key}, id {kind}, score double")
+
+    for row in queries.select("query_id", *asked).toLocalIterator():
+        held.append(row)
+        if len(held) == at_once:
+            parts.append(search(held))
+            held = []
+    if held or not parts:
+        parts.append(search(held))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ranked(out, leg, k)
+
+
 def in_filters(docs: DataFrame, source_types: list[str] | None = None, source_ids: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
     """Documents whose columns are in the lists; a list that is empty or None filters nothing. Values with a comma are refused."""
     for column, values in (("source_type", source_types), ("source_id", source_ids), ("language", languages)):
@@ -69,37 +118,80 @@ def vector(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.
     return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
 
 
-def vector_batch(docs: DataFrame, queries: DataFrame, k: int, floor: float = 0.8, at_once: int = 20_000) -> DataFrame:
-    """The same for many queries: a matrix product for each batch of documents, which hands on no more than its best k of each query."""
-    asked = [(r["query_id"], r["embedding"]) for r in queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator()]
-    kind, key = (dict(f.dtypes)[c] for f, c in ((docs, "id"), (queries, "query_id")))
-    arrow = to_arrow_type(queries.schema["query_id"].dataType)
-    out = None
-    for first in range(0, max(1, len(asked)), at_once):
-        part = asked[first : first + at_once]
-        sent = docs.sparkSession.sparkContext.broadcast(([q for q, _ in part], [np.array(v, dtype=np.float64) for _, v in part]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, vectors = sent.value
-            for b in batches:
-                ids = b.column(0)
-                rows = [np.array(v if v is not None and None not in v else [], dtype=np.float64) for v in b.column(1).to_pylist()]
-                for dim in {len(v) for v in rows} & {len(v) for v in vectors} - {0}:
-                    at, qs = [i for i, v in enumerate(rows) if len(v) == dim], [i for i, v in enumerate(vectors) if len(v) == dim]
-                    d, q = np.stack([rows[i] for i in at]), np.stack([vectors[i] for i in qs])
-                    with np.errstate(all="ignore"):
-                        s = np.round((q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]), 6)
-                    s[~np.isfinite(s)] = -np.inf
-                    if s.shape[1] > k:  # ties at the edge stay in
-                        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                        s[s < edge[:, None]] = -np.inf
-                    i, j = np.nonzero(s >= floor)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array([names[qs[x]] for x in i], arrow), ids.take(pa.array(np.array(at)[j])), pa.array(s[i, j])], names=["query_id", "id", "score"])
-
-        found = docs.select("id", "embedding").mapInArrow(run, f"query_id {key}, id {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, VECTOR, k)
+def vector_batch(docs: DataFrame, queries: DataFrame, k: int, floor: float = 0.8, at_once: int = 20_000, block: int = 1024) -> DataFrame:
+    """The same for many queries: matrix products of ``block`` queries and documents at a time."""
+
+    def prepare(rows: list[Row]) -> list:
+        dims: dict[int, tuple[list, list]] = {}
+        for n, r in enumerate(rows):
+            v = r["embedding"]
+            if v is not None and len(v) and None not in v:
+                numbers, vectors = dims.setdefault(len(v), ([], []))
+                numbers.append(n)
+                vectors.append(v)
+        return [(np.array(numbers), np.array(vectors, dtype=np.float64)) for numbers, vectors in dims.values()]
+
+    def look(asked: list) -> Look:
+        with np.errstate(all="ignore"):
+            by_dim = {v.shape[1]: (numbers, v / np.linalg.norm(v, axis=1)[:, None]) for numbers, v in asked}
+
+        def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+            for rows, x in stream.matrices(b.column(1)):
+                if x.shape[1] not in by_dim:
+                    continue
+                numbers, q = by_dim[x.shape[1]]
+                with np.errstate(all="ignore"):
+                    x = x / np.linalg.norm(x, axis=1)[:, None]
+                for at in range(0, len(x), block):
+                    for first in range(0, len(q), block):
+                        with np.errstate(all="ignore"):
+                            s = half_up(q[first : first + block] @ x[at : at + block].T)
+                        s[~np.isfinite(s)] = -np.inf
+                        if k is not None and s.shape[1] > k:  # ties at the edge stay in
+                            edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                            s[s < edge[:, None]] = -np.inf
+                        i, j = np.nonzero(s >= floor)
+                        best.add(numbers[first + i], ids[rows[at + j]], s[i, j])
+
+        return seek
+
+    return scanned(docs, ["embedding"], queries, ["embedding"], at_once, prepare, look, VECTOR, k)
+
+
+def vector_coded(index: DataFrame, docs: DataFrame, queries: DataFrame, k: int, floor: float = 0.8, pool: int = 10, at_once: int = 20_000, block: int = 1024) -> DataFrame:
+    """Approximate: ranks by codes (``sources.postings.codes``: id, dim, code, factor), which are a small part of the vectors, and computes the cosine of the best ``pool`` * k
+    of each query only. Every row is in the index; how many of the true best come out is a matter of ``pool``."""
+
+    def prepare(rows: list[Row]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out: dict[int, tuple[list, list]] = {}
+        for n, r in enumerate(rows):
+            v = r["embedding"]
+            if v is not None and len(v) and None not in v and (norm := float(np.linalg.norm(v))) > 0 and np.isfinite(norm):
+                numbers, vectors = out.setdefault(len(v), ([], []))
+                numbers.append(n)
+                vectors.append(np.array(v) / norm)
+        return {d: (np.array(numbers), np.array(vectors)) for d, (numbers, vectors) in out.items()}
+
+    def look(asked: dict) -> Look:
+        def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+            dims, factor = b.column(1).to_numpy(), b.column(3).to_numpy()
+            for dim, (numbers, q) in asked.items():
+                rows = np.flatnonzero(dims == dim)
+                for at in range(0, len(rows), block):
+                    own = rows[at : at + block]
+                    packed = np.frombuffer(b"".join(b.column(2).take(pa.array(own)).to_pylist()), dtype=np.uint8).reshape(len(own), -1)
+                    for first in range(0, len(q), block):
+                        s = rotation.estimates(q[first : first + block], packed, factor[own].astype(float))
+                        if s.shape[1] > k * pool:
+                            s[s < -np.partition(-s, k * pool - 1, axis=1)[:, k * pool - 1, None]] = -np.inf
+                        i, j = np.nonzero(np.isfinite(s))
+                        best.add(numbers[first + i], ids[own[j]], s[i, j].astype(float))
+
+        return seek
+
+    found = scanned(index, ["dim", "code", "factor"], queries, ["embedding"], at_once, prepare, look, VECTOR, k * pool).select("query_id", "id")
+    pairs = found.join(docs.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
 
 
 def cells(docs: DataFrame, n: int, seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
@@ -120,42 +212,132 @@ def vector_probed(celled: DataFrame, centres: list[list[float]], queries: DataFr
     return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
 
 
-def bigram(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.35) -> DataFrame:
+def _grams_of(rows: list[Row], of: Callable[[str], np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(all grams of the queries, sorted; for each query the places of its own among them)."""
+    each = [np.unique(of(r["text"])) if r["text"] else np.zeros(0, dtype=np.uint64) for r in rows]
+    known = np.unique(np.concatenate([*each, np.zeros(0, dtype=np.uint64)]))
+    return known, [np.searchsorted(known, g) for g in each]
+
+
+def _holders(own: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n grams the queries that have it: (where its queries begin, queries)."""
+    gram = np.concatenate([*own, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    query = np.repeat(np.arange(len(own)), [len(g) for g in own])
+    order = np.argsort(gram, kind="stable")
+    return np.searchsorted(gram[order], np.arange(n + 1)), query[order]
+
+
+def _no_blank(g: np.ndarray) -> np.ndarray:
+    return g[((g >> np.uint64(21)) != 32) & ((g & np.uint64((1 << 21) - 1)) != 32)]
+
+
+def bigram(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.35, at_once: int = 2_000) -> DataFrame:
     """Share of the query's bigrams that ``content`` has, of those without a blank. Documents that share none aren't candidates."""
-    asked = queries.select("query_id", X.query_bigrams(F.col("text")).alias("_g")).where("size(_g) > 0")
-    grams = small(asked.select("query_id", F.size("_g").alias("_n"), F.explode("_g").alias("_gram")))
-    posted = docs.select("id", F.explode(X.bigrams(F.col("content"))).alias("_gram"))
-    share = posted.join(grams, "_gram").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("_n")).alias("score"))
-    return ranked(share.where(F.round("score", 6) >= floor), KEYWORD, k)
+    def look(what: tuple) -> Look:
+        known, own = what
+        begin, query = _holders(own, len(known))
+        size = np.array([len(g) for g in own])
+
+        def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+            for first, part in stream.slices(b.column(1)):
+                gram, text = stream.bigram_codes(part.to_pylist())
+                at, which = stream.members(gram, known)
+                has = np.unique(text[at] * len(known) + which) if len(at) else at
+                text, which = has // max(1, len(known)), has % max(1, len(known))
+                n = begin[which + 1] - begin[which]
+                to = query[np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                pair, shared = np.unique(np.repeat(text, n) * len(own) + to, return_counts=True)
+                text, to = pair // max(1, len(own)), pair % max(1, len(own))
+                score = half_up(shared / size[to])
+                ok = score >= floor
+                best.add(to[ok], ids[first + text[ok]], score[ok])
+
+        return seek
+
+    return scanned(docs, ["content"], queries, ["text"], at_once, lambda rows: _grams_of(rows, lambda t: _no_blank(stream.bigram_codes([t])[0])), look, KEYWORD, k)
+
+
+def trigram(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.35, at_once: int = 2_000) -> DataFrame:
+    """Word similarity of each query to ``content_normalized``. A text is compared only with queries so many of whose trigrams it has that it can reach the floor, and
+    the best of the task so far."""
+
+    def look(what: tuple) -> Look:
+        known, own = what
+        begin, query = _holders(own, len(known))
+        size = np.array([len(g) for g in own])
+
+        def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+            for first, part in stream.slices(b.column(1)):
+                grams = stream.Grams(part.to_pylist())
+                at, which = stream.members(grams.gram, known)
+                if not len(at):
+                    continue
+                has = np.unique(grams.text[at] * len(known) + which)
+                text, gram = has // len(known), has % len(known)
+                n = begin[gram + 1] - begin[gram]
+                to = query[np.repeat(begin[gram] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                pair, shared = np.unique(to * grams.n + np.repeat(text, n), return_counts=True)
+                for q in np.unique(pair // grams.n).tolist():
+                    mine = slice(*np.searchsorted(pair, [q * grams.n, (q + 1) * grams.n]))
+                    least = max(floor, best.least(q))
+                    able = np.zeros(grams.n, dtype=bool)
+                    able[pair[mine][shared[mine] >= (least - 1e-6) * size[q]] % grams.n] = True
+                    mark = np.zeros(len(known), dtype=bool)
+                    mark[own[q]] = True
+                    hits = at[mark[which] & able[grams.text[at]]]
+                    if not len(hits):
+                        continue
+                    rows, score = grams.similarity(int(size[q]), hits, np.full(grams.n, least - 1e-6))
+                    score = half_up(score)
+                    ok = score >= least
+                    best.add(np.full(int(ok.sum()), q), ids[first + rows[ok]], score[ok])
+                best.refresh()
+
+        return seek
+
+    return scanned(docs, ["content_normalized"], queries, ["text"], at_once, lambda rows: _grams_of(rows, lambda t: stream.trigram_codes([t])[0]), look, KEYWORD, k)
+
+
+def _asked_grams(queries: DataFrame, kind: str, at_once: int) -> Iterator[DataFrame]:
+    """(query_id, gram, n) of so many queries at a time, to be broadcast: n is how many grams the query has."""
+    own = (lambda t: stream.trigram_codes([t])[0]) if kind == "trigram" else (lambda t: _no_blank(stream.bigram_codes([t])[0]))
+    key = dict(queries.dtypes)["query_id"]
+
+    def frame(rows: list[Row]) -> DataFrame:
+        grams = [(r["query_id"], np.unique(own(r["text"])).astype(np.int64).tolist()) for r in rows if r["text"]]
+        return queries.sparkSession.createDataFrame([(q, g, len(gs)) for q, gs in grams for g in gs], f"query_id {key}, gram long, n int")
+
+    held: list[Row] = []
+    empty = True
+    for row in queries.select("query_id", "text").toLocalIterator():
+        held.append(row)
+        if len(held) == at_once:
+            yield frame(held)
+            held, empty = [], False
+    if held or empty:
+        yield frame(held)
+
+
+def _shared(postings: DataFrame, queries: DataFrame, kind: str, floor: float, at_once: int) -> DataFrame:
+    """(query_id, id, score): the share of the query's grams that a row has, where it reaches the floor. Postings of other grams aren't read."""
+    out = None
+    for asked in _asked_grams(queries, kind, at_once):
+        wanted = sorted(r[0] for r in asked.select("gram").distinct().collect())  # at most at_once queries' grams
+        rows = postings.where(F.col("gram").isin(wanted)) if len(wanted) <= 1000 else postings
+        hit = rows.select("id", "gram").join(F.broadcast(asked), "gram").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("n")).alias("score")).where(F.round("score", 6) >= floor)
+        out = hit if out is None else out.unionByName(hit)
+    return out
 
 
-def trigram(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.35) -> DataFrame:
-    """Word similarity of each query to ``content_normalized``. Only documents with so many of the query's trigrams that they can reach the floor are compared."""
-    asked = {r["query_id"]: set(wordsim.grams(r["text"])) for r in queries.select("query_id", "text").where("text is not null").toLocalIterator()}
-    sent = docs.sparkSession.sparkContext.broadcast({q: g for q, g in asked.items() if g})
-    kind, key = (dict(f.dtypes)[c] for f, c in ((docs, "id"), (queries, "query_id")))
+def bigram_posted(postings: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.35, at_once: int = 2_000) -> DataFrame:
+    """``bigram`` from stored postings (id, gram), without the texts."""
+    return ranked(_shared(postings, queries, "bigram", floor, at_once), KEYWORD, k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        holders: dict[str, list] = {}
-        for q, g in sent.value.items():
-            for x in g:
-                holders.setdefault(x, []).append(q)
-        for b in batches:
-            rows = []
-            for i, content in zip(b["id"], b["content_normalized"]):
-                own = wordsim.grams(content) if content else []
-                shared: dict = {}
-                for x in set(own):
-                    for q in holders.get(x, ()):
-                        shared[q] = shared.get(q, 0) + 1
-                able = [q for q, n in shared.items() if n >= floor * len(sent.value[q]) - 1e-6]
-                doc = wordsim.Indexed(own) if able else None
-                for q in able:
-                    if round(s := wordsim.word_similarity(sent.value[q], doc, max(0.0, floor - 1e-6)), 6) >= floor and s > 0:
-                        rows.append((q, i, s))
-            yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
-
-    return ranked(docs.select("id", "content_normalized").mapInPandas(run, f"query_id {key}, id {kind}, score double"), KEYWORD, k)
+
+def trigram_posted(postings: DataFrame, docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.35, at_once: int = 2_000) -> DataFrame:
+    """``trigram``, of which only those texts are read that share enough trigrams with some query to reach the floor."""
+    able = _shared(postings, queries, "trigram", floor - 1e-6, at_once).select("id").distinct()
+    return trigram(docs.join(able, "id", "left_semi"), queries, k, floor, at_once)
 
 
 def keyword(docs: DataFrame, queries: DataFrame, k: int | None, floor: float, cjk: bool = False, segments: Callable[[str], bool] = lambda _: False) -> DataFrame:
@@ -167,41 +349,106 @@ def keyword(docs: DataFrame, queries: DataFrame, k: int | None, floor: float, cj
     return bigram(docs, queries.where(is_cjk), k, floor).unionByName(trigram(docs, queries.where(~is_cjk), k, floor))
 
 
-def tsvector(docs: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """Full text search by a query tree, ranked by cover density. queries: (query_id, text, built, config), built as ``synonyms.fts_query`` has it, or null;
-    docs: (id, content_normalized, config). A document is stemmed by its own configuration, a query by its own."""
-    trees = {}
-    for r in queries.select("query_id", "text", "built", "config").toLocalIterator():
-        tree = tsquery.query_tree(r["built"] or "", r["text"] or "", r["config"] or "simple")
-        if tree is not None:
-            trees[r["query_id"]] = tree
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
-    kind, key = (dict(f.dtypes)[c] for f, c in ((docs, "id"), (queries, "query_id")))
+def _trees(rows: list[Row]) -> list[tuple[int, tsquery.Node]]:
+    trees = ((n, tsquery.query_tree(r["built"] or "", r["text"] or "", r["config"] or "simple")) for n, r in enumerate(rows))
+    return [(n, t) for n, t in trees if t is not None]
+
+
+class _Asked:
+    """The lexemes of query trees, and which queries ask for each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = {q: tsquery.terms(t) for q, t in sent.value.items()}
-        holders: dict[str, list] = {}
-        for q, ts in terms.items():
-            for t in ts:
-                holders.setdefault(t, []).append(q)
-        for b in batches:
-            rows = []
-            for i, content, config in zip(b["id"], b["content_normalized"], b["config"]):
-                doc = tsquery.vector(content, config or "simple") if content else {}
-                for q in {q for t in doc.keys() & holders.keys() for q in holders[t]}:
-                    tree = sent.value[q]
-                    if tsquery.matches(tree, {t: set(doc[t]) for t in terms[q] if t in doc}):
-                        rows.append((q, i, tsquery.rank(tree, doc)))
-            yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
+    def __init__(self, trees: list[tuple[int, tsquery.Node]]) -> None:
+        wanted = {n: tsquery.terms(t) for n, t in trees}
+        self.lexemes = sorted(set().union(*wanted.values()))
+        self.number = {t: i for i, t in enumerate(self.lexemes)}
+        self.holders: list[list[tuple[int, tsquery.Node]]] = [[] for _ in self.lexemes]
+        for n, t in trees:
+            for x in wanted[n]:
+                self.holders[self.number[x]].append((n, t))
 
-    return ranked(docs.select("id", "content_normalized", "config").mapInPandas(run, f"query_id {key}, id {kind}, score double"), FTS, k)
+    def found(self, doc: dict[str, list[int]]) -> Iterator[tuple[int, float]]:
+        """(query, rank) of the queries that a document with these lexemes matches."""
+        asked: dict[int, tsquery.Node] = {}
+        for t in doc:
+            asked.update(self.holders[self.number[t]])
+        where = {t: set(p) for t, p in doc.items()}
+        return ((n, tsquery.rank(tree, doc)) for n, tree in asked.items() if tsquery.matches(tree, where))
 
 
-def bm25_statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((grp, term, df), (grp, n_docs, avg_len)) of postings (grp, id, term, tf)."""
-    df = postings.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
-    lens = postings.groupBy("grp", "id").agg(F.sum("tf").alias("len"))
-    return df, lens.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+def tsvector(docs: DataFrame, queries: DataFrame, k: int | None, at_once: int = 2_000) -> DataFrame:
+    """Full text search by a query tree, ranked by cover density. queries: (query_id, text, built, config), built as ``synonyms.fts_query`` has it, or null;
+    docs: (id, content_normalized, config). A document is stemmed by its own configuration, a query by its own. Of a slice of documents, each
+    distinct word is stemmed once, and only documents with a query's words are looked at one by one."""
+
+    def look(trees: list[tuple[int, tsquery.Node]]) -> Look:
+        asked = _Asked(trees)
+
+        def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+            if not asked.lexemes:
+                return
+            for first, part in stream.slices(b.column(1)):
+                cps, begin = stream.codes([None if t is None else t.lower() for t in part.to_pylist()])
+                start, end = stream.words(cps, begin)
+                vocabulary, which = stream.vocabulary(cps, start, end)
+                text = np.searchsorted(begin, start, side="right") - 1
+                configs = b.column(2).slice(first, len(part)).fill_null("simple").to_pylist()
+                lexeme = np.full(len(start), -1, dtype=np.int64)
+                for config in dict.fromkeys(configs):
+                    stemmer, stop = stem.of(config)
+                    table = np.array([-1 if w in stop else asked.number.get(stemmer(w), -1) for w in vocabulary], dtype=np.int64)
+                    own = np.array([c == config for c in configs])[text]
+                    lexeme[own] = table[which[own]]
+                hit = np.flatnonzero(lexeme >= 0)
+                if not len(hit):
+                    continue
+                place = hit - np.searchsorted(text, text[hit]) + 1
+                edges = np.append(np.flatnonzero(np.append(True, text[hit][1:] != text[hit][:-1])), len(hit))
+                found: list[tuple[int, int, float]] = []
+                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    doc: dict[str, list[int]] = {}
+                    for term, at in zip(lexeme[hit[x:y]].tolist(), place[x:y].tolist()):
+                        doc.setdefault(asked.lexemes[term], []).append(at)
+                    found += [(n, int(text[hit[x]]), score) for n, score in asked.found(doc)]
+                if found:
+                    q, t, s = zip(*found)
+                    best.add(np.array(q), ids[first + np.array(t)], half_up(np.array(s)))
+
+        return seek
+
+    return scanned(docs, ["content_normalized", "config"], queries, ["text", "built", "config"], at_once, _trees, look, FTS, k)
+
+
+def tsvector_posted(postings: DataFrame, queries: DataFrame, k: int | None, at_once: int = 2_000) -> DataFrame:
+    """``tsvector`` from stored postings (lexeme, id, positions): only those of the queries' lexemes are read, and gathered by document, whose texts aren't needed."""
+    out, held, empty = None, [], True
+
+    def search(rows: list[Row]) -> DataFrame:
+        lexemes = sorted(set().union(*(tsquery.terms(t) for _, t in _trees(rows))))
+        kept = postings.where(F.col("lexeme").isin(lexemes)) if len(lexemes) <= 1000 else postings.join(F.broadcast(postings.sparkSession.createDataFrame([(t,) for t in lexemes], "lexeme string")), "lexeme", "left_semi")
+        docs = kept.groupBy("id").agg(F.collect_list("lexeme").alias("lexemes"), F.collect_list("positions").alias("positions"))
+
+        def look(trees: list[tuple[int, tsquery.Node]]) -> Look:
+            asked = _Asked(trees)
+
+            def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+                found = [(n, r, score) for r, (own, at) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) for n, score in asked.found(dict(zip(own, at)))]
+                if found:
+                    q, r, s = zip(*found)
+                    best.add(np.array(q), ids[list(r)], half_up(np.array(s)))
+
+            return seek
+
+        part = queries.sparkSession.createDataFrame(rows, queries.select("query_id", "text", "built", "config").schema)
+        return scanned(docs, ["lexemes", "positions"], part, ["text", "built", "config"], at_once, _trees, look, FTS, k)
+
+    for row in queries.select("query_id", "text", "built", "config").toLocalIterator():
+        held.append(row)
+        if len(held) == at_once:
+            out = search(held) if out is None else out.unionByName(search(held))
+            held, empty = [], False
+    if held or empty:
+        out = search(held) if out is None else out.unionByName(search(held))
+    return out
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -216,12 +463,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.2, b:
     docs: (id, content_normalized, language); queries: (query_id, text, language). ``tokens`` takes ``tokenized(docs)`` where it is stored.
     The words of documents that no query asks for are dropped before anything is shuffled."""
     toks = tokens if tokens is not None else tokenized(docs)
+    return _bm25(toks.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")), lambda wanted: toks.select("grp", "id", "len", F.explode("terms").alias("term")).join(wanted, ["grp", "term"], "left_semi").groupBy("grp", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), queries, k, k1, b)
+
+
+def bm25_posted(postings: DataFrame, rows: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``bm25`` from stored postings (grp, term, id, tf, len) and, for the statistics, the store's rows (fts_group, n_terms); no text is read."""
+    stats = rows.where("n_terms > 0").groupBy(F.col("fts_group").alias("grp")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_len"))
+    return _bm25(stats, lambda wanted: postings.select("grp", "id", "len", "term", "tf").join(wanted, ["grp", "term"], "left_semi"), queries, k, k1, b)
+
+
+def _bm25(stats: DataFrame, posted_of: Callable[[DataFrame], DataFrame], queries: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
     asked = queries.select("query_id", bm25_group_of(F.coalesce("language", F.lit(""))).alias("grp"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     to_all = F.broadcast if few else (lambda df: df)  # what follows has no more rows than asked
-    stats = toks.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = to_all(asked.select("grp", "term").distinct())
-    posted = toks.select("grp", "id", "len", F.explode("terms").alias("term")).join(wanted, ["grp", "term"], "left_semi").groupBy("grp", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posted = posted_of(to_all(asked.select("grp", "term").distinct()))
     df = posted.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, ["grp", "term"]).join(F.broadcast(stats), "grp").withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     hit = posted.join(to_all(weights), ["grp", "term"])

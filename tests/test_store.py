@@ -4,10 +4,11 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwell.operators import legs
 from tarnwell.operators.chunker import Chunker
 from tarnwell.plans.indexing import build_corpus, index_sources
 from tarnwell.sources import providers as P
-from tarnwell.sources.store import TENANT, Conflict, DocumentStore, read_jsonl, read_queries
+from tarnwell.sources.store import TENANT, Conflict, DocumentStore, Migration, read_jsonl, read_pages, read_queries, write_jsonl, write_results
 from tarnwell.streaming import ingest
 
 SOURCES = "tenant_id string, source_type string, source_id string, text string, language string, metadata string, version int"
@@ -50,7 +51,7 @@ def test_isolation_and_conflicts(spark, store, tmp_path):
     assert safe.scan().count() == 1
     spark.conf.unset(TENANT)
     with pytest.raises(Conflict):
-        store._commit(store.version() - 1, {})
+        store._commit(store.version() - 1, store.manifest())
     with pytest.raises(ValueError):
         DocumentStore(spark, store.path, 8, frozenset({"other"}))
     with pytest.raises(Exception, match="8 dimensions"):
@@ -71,9 +72,86 @@ def test_stream(spark, store, tmp_path):
     assert said(store) == [("1", "newest")]
 
 
-def test_files(spark, tmp_path):
+def test_a_change_costs_no_more_than_itself(spark, store):
+    rows = lambda *x: sources(spark, *[("a", i, t, 1) for i, t in x]).withColumn("content", F.col("text"))
+    store.insert(rows(*[(str(k), f"text {k}") for k in range(50)]))
+    first = store.manifest()["tenants"]["a"]["data"]
+    for k in range(3):
+        store.replace_sources(rows(("7", "")), rows(("7", f"new {k}")))
+    now = store.manifest()["tenants"]["a"]
+    assert now["data"][:1] == first and len(now["data"]) == 4 and len(now["gone"]) == 3
+    assert spark.read.parquet(*[f"{store.path}/{f}" for f in now["data"][1:]]).count() == 3
+    assert dict(said(store))["7"] == "new 2" and len(said(store)) == 50
+    store.replace_sources(rows(("7", "")), rows(("7", "text 7")))  # what was there at first, again
+    store.delete_source("a", "faq", None)
+    assert dict(said(store))["7"] == "text 7" and len(said(store)) == 50
+    before = said(store)
+    store.compact("a")
+    assert said(store) == before and len(store.manifest()["tenants"]["a"]["data"]) == 1 and not store.manifest()["tenants"]["a"]["gone"]
+    small = DocumentStore(spark, store.path, 8, compact_after=2)
+    for k in range(4):
+        small.insert(rows((f"n{k}", "x")))
+    assert len(store.manifest()["tenants"]["a"]["data"]) <= 3 and len(said(store)) == 54
+
+
+def test_migrations(spark, store):
+    rows = lambda *x: sources(spark, *[("a", i, t, 1) for i, t in x]).withColumn("content", F.col("text"))
+    store.insert(rows(("1", "the license of hands"), ("2", "a hand"), ("3", "other words")))
+    with pytest.raises(ValueError, match="no trigram index"):
+        store.index("trigram", "a")
+    assert store.migrate() == ["001_documents", "002_trigram_postings", "003_lexeme_postings"] and store.migrate() == []
+    full = DocumentStore(spark, store.path, 8, frozenset({"cjk", "textsearch", "rls"}))
+    assert full.migrate() == ["004_rls", "005_cjk_bigram_postings", "007_textsearch_term_postings"]
+    assert store.scan().count() == 0 and store.scan("a").count() == 3  # the store has it, whoever opens it
+
+    def broken(s, manifest):
+        raise RuntimeError("no")
+
+    before = store.version()
+    with pytest.raises(RuntimeError):
+        full.migrate((Migration("008_fine", lambda s, m: m), Migration("009_broken", broken)))
+    assert store.version() == before + 1 and "008_fine" in store.manifest()["migrations"] and "009_broken" not in store.manifest()["migrations"]
+    store.replace_sources(rows(("2", "")), rows(("2", "a license, a license")))
+    store.insert(rows(("4", "hand of the license")))
+    live = {r["id"]: r["source_id"] for r in store.scan("a").collect()}
+    terms = sorted((live[r["id"]], r["term"], r["tf"], r["len"]) for r in store.index("term", "a").collect() if r["term"] in ("license", "hand"))
+    assert terms == [("1", "license", 1, 4), ("2", "license", 2, 4), ("4", "hand", 1, 4), ("4", "license", 1, 4)]
+    stems = sorted((live[r["id"]], r["positions"]) for r in store.index("lexeme", "a").where("lexeme = 'hand'").collect())
+    assert stems == [("1", [4]), ("4", [1])]  # "of" and "the" have places, but no lexemes
+    assert {live[r["id"]] for r in store.index("bigram", "a").collect()} == {"1", "2", "3", "4"}
+    assert store.index("term").count() == 0  # row-level security
+
+
+def test_legs_from_postings(spark, store):
+    store.migrate()
+    DocumentStore(spark, store.path, 8, frozenset({"cjk", "textsearch", "vectorchord"})).migrate()
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    store.insert(texts.select(F.lit("a").alias("tenant_id"), F.lit("d").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.col("lang").alias("language")))
+    store.delete_source("a", "d", "3")
+    docs = store.scan("a").persist()
+    q = spark.createDataFrame([(1, "released under the license", "en"), (2, "der die und", "en"), (3, None, "en"), (4, "", "en")], "query_id int, text string, language string")
+    built = q.select("query_id", "text", F.lit(None).cast("string").alias("built"), F.lit("english").alias("config"))
+    same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) and x.count() > 0
+    assert same(legs.bigram_posted(store.index("bigram", "a"), q, 20), legs.bigram(docs, q, 20))
+    assert same(legs.trigram_posted(store.index("trigram", "a"), docs, q, 20), legs.trigram(docs, q, 20))
+    assert same(legs.bm25_posted(store.index("term", "a"), docs, q, 20), legs.bm25(docs, q, 20))
+    assert same(legs.tsvector_posted(store.index("lexeme", "a"), built, 20), legs.tsvector(docs, built, 20))
+    assert same(legs.tsvector_posted(store.index("lexeme", "a"), built, None), legs.tsvector(docs, built, None))
+
+
+def test_files(spark, tmp_path, caplog):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n')
     assert [r["a"] for r in read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()] == [1, 2]
+    assert "1 lines" in caplog.text
+    write_jsonl(spark.createDataFrame([(1, None), (2, "é")], "a int, b string"), str(tmp_path / "out"))
+    assert [tuple(r) for r in read_jsonl(spark, str(tmp_path / "out"), "a int, b string").orderBy("a").collect()] == [(1, None), (2, "é")]
+    write_results(spark, str(tmp_path / "r.json"), {"summary": spark.createDataFrame([(3, 0.5)], "n int, mrr_10 double")}, model="none")
+    assert json.loads((tmp_path / "r.json").read_text()) == {"model": "none", "summary": [{"n": 3, "mrr_10": 0.5}]}
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_bytes(b"one\x0ctwo")
+    (tmp_path / "files" / "b.txt").write_bytes(b"\xff")
+    pages = read_pages(spark, str(tmp_path / "files"), lambda b: b.decode().split("\f")).collect()
+    assert [(r["doc"].rpartition("/")[2], r["page"], r["text"]) for r in pages] == [("a.txt", 1, "one"), ("a.txt", 2, "two")]
     q = {"version": 1, "queries": [{"id": "1", "domain": "d", "provider": "p", "target_doc": "t", "target_snippet": "s", "variants": {"written": "w", "spoken": "x"}}]}
     (tmp_path / "q.json").write_text(json.dumps(q))
     assert sorted((r["variant"], r["text"]) for r in read_queries(spark, str(tmp_path / "q.json")).collect()) == [("spoken", "x"), ("written", "w")]
