@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,9 +24,9 @@ def sanitize(word: str) -> str:
     return _WS.sub(" ", word.translate(_SPECIAL)).strip()
 
 
-def load(rows: Iterable[dict]) -> Lookup:
+def load(rows: Iterable[dict], normalize: Callable[[str, str], str] | None = None) -> Lookup:
     """From rows of language, term, synonyms (a list, or one in JSON) and direction, in the order of language, term and synonyms.
-    Rows that can't be read are skipped; a term has at most five synonyms, the first ones."""
+    Rows that can't be read are skipped; a term has at most five synonyms, the first ones. ``normalize(word, language)`` is applied to all of them."""
     out: Lookup = {}
 
     def add(language: str, term: str, words: list[str]) -> None:
@@ -45,6 +45,8 @@ def load(rows: Iterable[dict]) -> Lookup:
         if not isinstance(found, (list, tuple)):
             continue
         term, words = row["term"].lower(), [w.lower() for w in found if isinstance(w, str)]
+        if normalize is not None:
+            term, words = normalize(term, row["language"]), [normalize(w, row["language"]) for w in words]
         add(row["language"], term, words)
         if row["direction"] == "two_way":
             for w in words:

@@ -7,6 +7,7 @@ them. A task keeps the best rows of each query over all its documents, and only
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import rotation, stem, stream, text as X, tsquery
 from ..functions.languages import CJK_CODES, bm25_group_of
+from ..sources.shared import shared_folder
 
 VECTOR, KEYWORD, FTS = 0, 1, 2
 BROADCAST_ROWS = 200_000
+FEW = 1_000
 
 
 class LegError(RuntimeError):
@@ -113,12 +116,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.8) -> DataFrame:
-    """Cosine similarity of ``embedding`` to each query's, by the expression; for single queries and small batches."""
+    """Cosine similarity of ``embedding`` to each query's, by the expression; for single queries and small batches. Of more than ``FEW`` queries ``vector_batch`` takes over."""
+    if queries.limit(FEW + 1).count() > FEW:
+        return vector_batch(docs, queries, k, floor)
     pairs = docs.select("id", "embedding").crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("_q"))))
     return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
 
 
-def vector_batch(docs: DataFrame, queries: DataFrame, k: int, floor: float = 0.8, at_once: int = 20_000, block: int = 1024) -> DataFrame:
+def vector_batch(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.8, at_once: int = 20_000, block: int = 1024) -> DataFrame:
     """The same for many queries: matrix products of ``block`` queries and documents at a time."""
 
     def prepare(rows: list[Row]) -> list:
@@ -194,12 +199,15 @@ def vector_coded(index: DataFrame, docs: DataFrame, queries: DataFrame, k: int,
     return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
 
 
-def cells(docs: DataFrame, n: int, seed: int = 1) -> tuple[DataFrame, list[list[float]]]:
-    """(docs with their cell, the cells' centres): k-means over unit vectors, the coarse index of ``vector_probed``."""
+def cells(docs: DataFrame, n: int, seed: int = 1, fit_rows: int = 200_000) -> tuple[DataFrame, list[list[float]]]:
+    """(docs with their cell, the cells' centres): k-means over unit vectors, the coarse index of ``vector_probed``. It is fitted on about ``fit_rows`` rows at most, chosen by a
+    hash of their ids; every row gets a cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=n, seed=seed, distanceMeasure="cosine", featuresCol="_f", predictionCol="cell").fit(docs.select(array_to_vector(_double(F.col("embedding"))).alias("_f")))
+    share = max(1, -(-docs.count() // fit_rows))
+    fit_on = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    model = KMeans(k=n, seed=seed, distanceMeasure="cosine", featuresCol="_f", predictionCol="cell").fit(fit_on.select(array_to_vector(_double(F.col("embedding"))).alias("_f")))
     return model.transform(docs.withColumn("_f", array_to_vector(_double(F.col("embedding"))))).drop("_f"), [c.tolist() for c in model.clusterCenters()]
 
 
@@ -485,19 +493,32 @@ def _bm25(stats: DataFrame, posted_of: Callable[[DataFrame], DataFrame], queries
     return ranked(scored.where(F.round("score", 6) > 0), FTS, k)
 
 
-def search_legs(parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """All legs in one frame. A leg that can't be built fails the search, with the names and messages of all that failed."""
-    made, failed = [], []
-    for name, build in parts.items():
+def search_legs(parts: dict[str, Callable[[], DataFrame]], eager: bool = False) -> DataFrame:
+    """All legs in one frame. Legs that can't be built fail the search, with the names and messages of all that failed. With ``eager``, each leg is run as a job of its
+    own, all at once, and its few rows are written to the shared folder; so legs that fail while they run are named as well."""
+    made, failed = {}, []
+
+    def run(name: str, build: Callable[[], DataFrame]) -> None:
         try:
-            made.append(build())
+            leg = build()
+            if eager:
+                path, kind = shared_folder(leg.sparkSession, "leg"), leg.schema
+                leg.write.parquet(path)
+                leg = leg.sparkSession.read.schema(kind).parquet(path)
+            made[name] = leg
         except Exception as e:  # noqa: BLE001 - every leg is to be reported
             failed.append((name, e))
+
+    if eager:
+        with ThreadPoolExecutor(len(parts)) as pool:
+            list(pool.map(lambda x: run(*x), parts.items()))
+    else:
+        for name, build in parts.items():
+            run(name, build)
     if failed:
+        failed.sort(key=lambda x: list(parts).index(x[0]))
         raise LegError(f"{len(failed)} of {len(parts)} search legs failed ({'; '.join(f'{n}: {e}' for n, e in failed)})") from failed[0][1]
-    out = made[0]
-    for m in made[1:]:
+    out, *rest = (made[n] for n in parts)
+    for m in rest:
         out = out.unionByName(m)
     return out
-
-

@@ -15,6 +15,7 @@ from ..functions.languages import fts_config_of
 from ..operators import cleaning, evaluate, fusion, legs
 from ..operators.chunker import Chunker, chunk_frame
 from ..operators.rerank import token_overlap
+from ..sources.postings import codes
 from ..sources.providers import HashEmbedder, stop_word_sets
 from ..sources.shared import shared_folder
 from ..sources.store import DocumentStore
@@ -102,6 +103,12 @@ def vector_probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs.vector_probed(celled, centres, _items(spark, sf_dir), 10, 0.1, 13)
 
 
+@_register("vector_coded_topk")
+def vector_coded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors by an index of codes, the best of which are computed exactly: approximate."""
+    return legs.vector_coded(codes(_vectors(spark, sf_dir), ["id"]), _vectors(spark, sf_dir), _items(spark, sf_dir), 10, 0.1)
+
+
 # keywords
 
 _GRAMS = "[substr(' ' || {0} || ' ', i, 2) FOR i IN range(1, length({0}) + 2)]"
@@ -337,6 +344,35 @@ def hybrid_search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _end_to_end(spark, sf_dir, SearchOptions(top_k=5, vector_min_score=0.1, language="en", text_search="bm25", fusion="linear", rerank=True, rerank_candidates=20), scorer=overlap)
 
 
+# the store's index folders
+
+
+def _indexed(spark: SparkSession, sf_dir: str, *features: str) -> DocumentStore:
+    """All documents in a store with postings; their ids are numbers of twelve digits, so that they have the same order as strings."""
+    store = DocumentStore(spark, shared_folder(spark, "indexed"), features=frozenset(features))
+    store.migrate()
+    docs = _table(spark, sf_dir, "documents")
+    store.insert(docs.select(F.lit(TENANT).alias("tenant_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.col("source").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.col("lang").alias("language")))
+    return store
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.withColumn("id", F.col("id").cast("long"))
+
+
+@_register("bigram_postings_topk", f"WITH {_ASKED_SQL} " + _top(_BIGRAM, 20, 1))
+def bigram_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram coverage from stored postings."""
+    return _numbered(legs.bigram_posted(_indexed(spark, sf_dir, "cjk").index("bigram", TENANT), asked(spark), 20))
+
+
+@_register("bm25_postings_topk", f"WITH {_TOK}, {_ASKED_SQL} " + _top(_bm25_sql("lang = 'en'"), 20, 2))
+def bm25_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 from stored postings."""
+    store = _indexed(spark, sf_dir, "textsearch")
+    return _numbered(legs.bm25_posted(store.index("term", TENANT), store.scan(TENANT), asked(spark), 20))
+
+
 # texts
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import math
 import time
+import unicodedata
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -48,10 +49,16 @@ class Cached:
 
 
 def stop_word_sets(rows: DataFrame, normalize: Callable[[str, str], str] | None = None) -> DataFrame:
-    """(language, words) of (language, word), in lower case and, if given, normalised."""
+    """(language, words) of (language, word), in lower case and, if given, normalised: each distinct word once, in Arrow batches."""
     word = F.lower("word")
     if normalize is not None:
-        word = F.udf(normalize, "string")(word, "language")
+
+        @F.pandas_udf(T.StringType())
+        def normal(words: pd.Series, languages: pd.Series) -> pd.Series:
+            return pd.Series([normalize(w, x) for w, x in zip(words, languages)], index=words.index)
+
+        rows = rows.select("language", word.alias("word")).where("word is not null").distinct()
+        word = normal(F.col("word"), F.col("language"))
     return rows.groupBy("language").agg(F.sort_array(F.collect_set(word)).alias("words"))
 
 
@@ -65,12 +72,12 @@ def stop_words(table: DataFrame, normalize: Callable[[str, str], str] | None = N
     return Cached(load, **kept)
 
 
-def synonym_lookup(table: DataFrame, **kept) -> Cached:
-    """By tenant, the lookup from a table (tenant_id, language, term, synonyms, direction)."""
+def synonym_lookup(table: DataFrame, normalize: Callable[[str, str], str] | None = None, **kept) -> Cached:
+    """By tenant, the lookup from a table (tenant_id, language, term, synonyms, direction); terms and synonyms normalised if that is given."""
 
     def load(tenant: str) -> synonyms.Lookup:
         rows = table.where(F.col("tenant_id") == tenant).orderBy("language", "term", "synonyms").collect()
-        return synonyms.load(r.asDict() for r in rows)
+        return synonyms.load((r.asDict() for r in rows), normalize)
 
     return Cached(load, **kept)
 
@@ -186,6 +193,37 @@ class HttpReranker:
         return [scores.get(k, 0.0) for k in range(len(texts))]
 
 
+@dataclass
+class HttpJudge:
+    """A chat endpoint that grades texts for a query: 0, 1 or 2 each. What it answers is read as the first digits of these; grades that are missing are 0."""
+
+    url: str
+    model: str
+    api_key: str | None = None
+    timeout: float = 60.0
+    post: Callable[[str, dict, dict, float], dict] = _post
+
+    def grade(self, query: str, texts: list[str]) -> list[int]:
+        if not texts:
+            return []
+        listed = "\n".join(f"[{k}] {t}" for k, t in enumerate(texts, 1))
+        ask = f"Rate how well each passage answers the question: 0 not at all, 1 partly, 2 fully. Answer with {len(texts)} digits only.\nQuestion: {query}\n{listed}"
+        headers = {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
+        answer = self.post(self.url, {"model": self.model, "temperature": 0, "messages": [{"role": "user", "content": ask}]}, headers, self.timeout)
+        said = [int(c) for c in str(answer["choices"][0]["message"]["content"]) if c in "012"]
+        return (said + [0] * len(texts))[: len(texts)]
+
+
+def judged(results: DataFrame, judge: HttpJudge) -> DataFrame:
+    """Adds ``grades`` to results (query, texts: array of string), a call a row."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def grade(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([judge.grade(q or "", [t or "" for t in ts]) for q, ts in zip(queries, texts)], index=queries.index)
+
+    return results.withColumn("grades", grade(F.col("query"), F.col("texts")))
+
+
 @dataclass
 class HttpSegmenter:
     """A segmentation endpoint: {text} to {text}. It may only put in white space; an answer that changes more is refused."""
@@ -228,3 +266,35 @@ class FixedSegmenter:
         if not text.strip() or not self.segments_language(language):
             return text
         return " ".join(text[k : k + self.every] for k in range(0, len(text), self.every))
+
+
+class DictionarySegmenter:
+    """A segmenter with a word list: the longest word that fits at each place, from left to right; what no word covers stays together, and never begins with a mark."""
+
+    def __init__(self, words: Iterable[str], languages: tuple[str, ...] = ("th", "zh", "ja", "lo", "km", "my")) -> None:
+        self.words = frozenset(w for w in words if w)
+        self.longest = max(map(len, self.words), default=1)
+        self.languages = languages
+
+    def segments_language(self, language: str) -> bool:
+        return base(language) in self.languages
+
+    def segment(self, text: str, language: str) -> str:
+        if not text.strip() or not self.segments_language(language):
+            return text
+        return " ".join(p for run in text.split() for p in self._split(run))
+
+    def _split(self, run: str) -> Iterator[str]:
+        at = unknown = 0
+        while at < len(run):
+            n = next((n for n in range(min(self.longest, len(run) - at), 0, -1) if run[at : at + n] in self.words and not (at + n < len(run) and unicodedata.category(run[at + n])[0] == "M")), 0)
+            if not n:
+                at += 1
+                continue
+            if unknown < at:
+                yield run[unknown:at]
+            yield run[at : at + n]
+            at += n
+            unknown = at
+        if unknown < at:
+            yield run[unknown:]

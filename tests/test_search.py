@@ -187,3 +187,45 @@ def test_measures(spark):
     assert evaluate.summarize(df.limit(0)).first()["n"] == 0 and evaluate.summarize(df.limit(0)).first()["mrr_10"] == 0
     got = {(r["attribute"], r["value"]): r["n"] for r in evaluate.slices(spark.createDataFrame(rows, df.schema), "dialect").collect()}
     assert got == {("all", None): 4, ("dialect", "x"): 1, ("dialect", "y"): 2, ("dialect", None): 1}
+
+
+def test_none_is_the_default():
+    o = SearchOptions(top_k=None, vector_min_score=None, rrf_k=None, text_search=None, min_relevance=None, language="en")
+    assert o == SearchOptions(language="en")
+
+
+def test_legs_that_fail_while_they_run_are_named(spark):
+    fine = frame(spark, [("a", 1)]).select("query_id", "leg", "rank", "id", "score")
+    broken = fine.withColumn("score", F.raise_error(F.lit("broken inside")).cast("double"))
+    assert legs.search_legs({"vector": lambda: fine, "keyword": lambda: fine}, eager=True).count() == 2
+    with pytest.raises(legs.LegError, match="2 of 3 search legs failed .*keyword: .*broken inside.*fts: "):
+        legs.search_legs({"vector": lambda: fine, "keyword": lambda: broken, "fts": lambda: broken}, eager=True)
+
+
+def test_search_tells_what_it_does(spark, docs):
+    from contextlib import contextmanager
+
+    said = []
+
+    class Said:
+        @contextmanager
+        def span(self, name):
+            said.append(name)
+            yield self
+
+        def set(self, name, value):
+            said.append((name, value))
+
+    class First:
+        """A text search of one's own: the document of id 1."""
+
+        def build(self, query, lookup):
+            return query
+
+        def leg(self, docs, queries, k, stemming):
+            return queries.select("query_id", F.lit(2).alias("leg"), F.lit(1).alias("rank"), F.lit(1).cast("long").alias("id"), F.lit(1.0).alias("score"))
+
+    q = docs.where("id = 3").select(F.lit(1).alias("query_id"), F.lit("cash").alias("text"), "embedding")
+    got = search(docs, q, SearchOptions(language="en", text_search=First(), vector_min_score=2.0, keyword_min_score=2.0, eager=True), tracer=Said())
+    assert [r["id"] for r in got.collect()] == [1]
+    assert [x for x in said if isinstance(x, str)] == ["search", "prepare", "legs", "fuse"] and ("text_search", "First") in said and ("language", "en") in said

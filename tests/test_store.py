@@ -211,3 +211,22 @@ def test_other_endpoints():
     assert s.segment("กขค", "th-TH") == "ก ข ค" and s.segment("abc", "en") == "abc"
     with pytest.raises(ValueError):
         P.HttpSegmenter("u", post=lambda *a: {"text": "x"}).segment("กขค", "th")
+
+
+def test_judge_and_word_list(spark):
+    asked = []
+
+    def post(url, body, headers, timeout):
+        asked.append(body["messages"][0]["content"])
+        return {"choices": [{"message": {"content": "2, 0 and 1"}}]}
+
+    judge = P.HttpJudge("u", "m", post=post)
+    assert judge.grade("q?", ["a", "b", "c", "d"]) == [2, 0, 1, 0] and judge.grade("q?", ["a"]) == [2] and judge.grade("q?", []) == [] and len(asked) == 2 and "q?" in asked[0]
+    plain = P.HttpJudge("u", "m", post=lambda *_: {"choices": [{"message": {"content": "1 2"}}]})
+    rows = spark.createDataFrame([("q", ["x", None])], "query string, texts array<string>")
+    assert P.judged(rows, plain).first()["grades"] == [1, 2]
+    s = P.DictionarySegmenter(["ราคา", "ราคาแพง", "มาก", "ab"])
+    assert s.segment("ราคาแพงมาก", "th-TH") == "ราคาแพง มาก" and s.segment("xxราคาyมาก", "th") == "xx ราคา y มาก" and s.segment("ab c", "en") == "ab c" and s.segment(" ", "th") == " "
+    assert s.segment("ราคากิมาก", "th") == "ราคา กิ มาก"
+    syn = spark.createDataFrame([("a", "en", "TV", '["Television"]', "two_way")], "tenant_id string, language string, term string, synonyms string, direction string")
+    assert P.synonym_lookup(syn, lambda w, lang: w[:3]).get("a") == {"en": {"tv": ["tel"], "tel": ["tv"]}}
