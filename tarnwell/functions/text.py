@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 #: White space as ECMAScript sees it, for Java's and Python's regular expressions alike.
 WS = "[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+_WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD = r"[\p{L}\p{N}]+"
 _CLOSING = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in "!\"').,:;?]}”’…،؛؟।॥ฯๆ、。！，：；？") + "]+\\z"
 
@@ -90,7 +91,7 @@ def strip_closing(word: Column) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"\\A{WS}+|{WS}+\\z", "")
+    return F.btrim(text, F.lit(_WS_CHARS))
 
 
 def clean_query(text: Column) -> Column:

@@ -465,11 +465,57 @@ def tokenized(docs: DataFrame) -> DataFrame:
     return toks.withColumn("len", F.size("terms")).where("len > 0")
 
 
+def _asked_words(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(grp, id, len, term, n, total) of documents: for each of the words in a document how often (n) it stands there, and, with null term, for each index group the number of
+    documents with words (n) and of these words (total), in parts."""
+    kind, arrow_id = dict(docs.dtypes)["id"], to_arrow_type(docs.schema["id"].dataType)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        number = {w: n for n, w in enumerate(words)}
+        totals: dict[str, list[int]] = {}
+        schema = pa.schema([("grp", pa.string()), ("id", arrow_id), ("len", pa.int32()), ("term", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
+        for b in batches:
+            for first, part in stream.slices(b.column(1)):
+                cps, begin = stream.codes([None if t is None else t.lower() for t in part.to_pylist()])
+                start, end = stream.words(cps, begin)
+                vocabulary, which = stream.vocabulary(cps, start, end)
+                text = np.searchsorted(begin, start, side="right") - 1
+                size = np.bincount(text, minlength=len(part))
+                groups = b.column(2).slice(first, len(part)).to_pylist()
+                for g, n in zip(groups, size.tolist()):
+                    if n:
+                        t = totals.setdefault(g, [0, 0])
+                        t[0], t[1] = t[0] + 1, t[1] + n
+                term = np.array([number.get(w, -1) for w in vocabulary], dtype=np.int64)[which] if len(which) else which
+                hit = np.flatnonzero(term >= 0)
+                if len(hit):
+                    pair, tf = np.unique(text[hit] * len(words) + term[hit], return_counts=True)
+                    rows, own = pair // len(words), (pair % len(words)).tolist()
+                    at = pa.array(first + rows)
+                    yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(0).take(at), pa.array(size[rows].astype(np.int32)), pa.array([words[x] for x in own]), pa.array(tf.astype(np.int64)), pa.nulls(len(own), pa.int64())], schema=schema)
+        if totals:
+            names, counted = list(totals), list(totals.values())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), arrow_id), pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.string()), pa.array([c[0] for c in counted], pa.int64()), pa.array([c[1] for c in counted], pa.int64())], schema=schema)
+
+    return docs.select("id", "content_normalized", bm25_group_of(F.coalesce("language", F.lit("")))).mapInArrow(run, f"grp string, id {kind}, len int, term string, n long, total long")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.2, b: float = 0.75, tokens: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of a flat list of terms over the documents of the query language's index group, with statistics over all of that group.
 
-    docs: (id, content_normalized, language); queries: (query_id, text, language). ``tokens`` takes ``tokenized(docs)`` where it is stored.
-    The words of documents that no query asks for are dropped before anything is shuffled."""
+    docs: (id, content_normalized, language); queries: (query_id, text, language). ``tokens`` takes ``tokenized(docs)`` where it is stored; else the texts are read once, and what
+    the queries' words and the statistics come to is written to the shared folder. The words of documents that no query asks for are dropped where they are read."""
+    if tokens is None:
+        words = queries.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w")).distinct().limit(BROADCAST_ROWS + 1).collect()
+        if len(words) <= BROADCAST_ROWS:
+            path, found = shared_folder(docs.sparkSession, "words"), _asked_words(docs, [r["w"] for r in words])
+            found.write.parquet(path)
+            found = docs.sparkSession.read.schema(found.schema).parquet(path)
+            stats = found.where("term is null").groupBy("grp").agg(F.sum("n").alias("n_docs"), (F.sum("total") / F.sum("n")).alias("avg_len"))
+            hits = found.where("term is not null").select("grp", "id", "len", "term", F.col("n").alias("tf"))
+            return _bm25(stats, lambda wanted: hits.join(wanted, ["grp", "term"], "left_semi"), queries, k, k1, b)
     toks = tokens if tokens is not None else tokenized(docs)
     return _bm25(toks.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")), lambda wanted: toks.select("grp", "id", "len", F.explode("terms").alias("term")).join(wanted, ["grp", "term"], "left_semi").groupBy("grp", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), queries, k, k1, b)
 

@@ -17,7 +17,7 @@ from ..operators.chunker import Chunker, chunk_frame
 from ..operators.rerank import token_overlap
 from ..sources.postings import codes
 from ..sources.providers import HashEmbedder, stop_word_sets
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, spread
 from ..sources.store import DocumentStore
 from ..streaming import ingest
 from .search import SearchOptions, search
@@ -46,7 +46,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(
+    docs = spread(_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("text").alias("content_normalized"), F.col("lang").alias("language"), F.col("source").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.lit("{}").alias("metadata"), F.lit("simple").alias("config")
     )
     return docs.join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left") if vectors else docs
@@ -451,7 +451,7 @@ def script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("chunk_documents")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))
+    docs = spread(_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))
     return chunk_frame(docs, Chunker(token_limit=256))
 
 
@@ -461,7 +461,7 @@ _LINES = "l AS (SELECT source AS doc, doc_id AS page, regexp_replace(unnest(stri
 @_register("recurring_boilerplate", f"WITH {_LINES} SELECT doc, line, count(DISTINCT page) AS pages FROM l JOIN (SELECT source AS doc, count(*) AS total FROM documents GROUP BY 1) USING (doc) WHERE line <> '' GROUP BY doc, line HAVING count(DISTINCT page) >= greatest(2, ceil(any_value(total) * 0.05))")
 def recurring_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source's documents as the pages of one."""
-    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    pages = spread(_table(spark, sf_dir, "documents")).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
     return cleaning.recurring(pages, 0.05)
 
 
@@ -473,7 +473,7 @@ def recurring_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT t.doc, page, md5(coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (b.line IS NULL), '')) AS digest FROM t LEFT JOIN b ON b.doc = t.doc AND b.line = t.line GROUP BY t.doc, page",
 )
 def strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    pages = spread(_table(spark, sf_dir, "documents")).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
     return cleaning.without_recurring(pages, 0.05).select("doc", "page", F.md5("text").alias("digest"))
 
 
