@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import spread
 from . import bpe, chat, decontam, embed, html_text, licenses, minhash, pii, store, toxicity
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

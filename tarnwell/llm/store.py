@@ -4,9 +4,9 @@ A document's ids, as little-endian integers of the least width that holds the vo
 the last ``window`` ids has its low bits zero, so that equal passages give equal chunks wherever they stand. A chunk is named by
 its digest and stored once; a document is the list of its chunks' digests (its recipe) and a Merkle root over them (its manifest).
 
-Tokenising, cutting and hashing happen where a document is read. The store's folder has two tables: ``recipes``, a row a document, which is never shuffled, and
-``chunks``, a row a digest. Chunks cross the network once, to their owner by digest, without those that a task has sent before, by an aggregate that combines before it
-shuffles. ``verify`` reads both back: every payload must have its digest and size, and every recipe must be whole, refer to stored chunks, and hash to the root
+Tokenising, cutting and hashing happen where a document is read. The store's folder has two parts: ``recipes``, a row a document, and
+``chunks``, a row a digest. They are written in one pass: chunks cross the network once, to their owner by digest, without those that a task has sent before, by an aggregate that
+combines before it shuffles. ``verify`` reads both back: every payload must have its digest and size, and every recipe must be whole, refer to stored chunks, and hash to the root
 that was computed from the text.
 
 Defined results: a null or empty text is a document of no ids, no chunks, and the root of the empty list; rows are documents of
@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
 from .pairs import by_key
-from .spill import Scratch, cut, new_folder
+from .spill import cut, new_folder
 from .words import mix, tidied
 
-SCHEMA = "row string, doc_id long, n_tokens int, n_chunks int, root binary, digests array<binary>, sizes array<int>, payloads array<binary>"
+_BINARIES, _INTS = pa.list_(pa.binary()), pa.list_(pa.int32())
+_COLUMNS = {"row": pa.string(), "doc_id": pa.int64(), "n_tokens": pa.int32(), "n_chunks": pa.int32(), "root": pa.binary(), "digests": _BINARIES, "sizes": _INTS, "digest": pa.binary(), "n_ids": pa.int32(), "payload": pa.binary()}
+SCHEMA = "row string, doc_id long, n_tokens int, n_chunks int, root binary, digests array<binary>, sizes array<int>, digest binary, n_ids int, payload binary"
+RECIPE = ["row", "doc_id", "n_tokens", "n_chunks", "root", "digests", "sizes"]
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,18 +89,16 @@ def width(p: Params) -> type:
 
 
 def chunked(docs: DataFrame, p: Params) -> DataFrame:
-    """A row for each document; payloads are null where the task has sent them before."""
-    kind, raw_ = width(p), bpe.sent(docs.sparkSession, p.tokens)
+    """A row for each document (its recipe), and one for each chunk that the task hasn't sent before (digest, n_ids, payload)."""
+    kind, file = width(p), bpe.sent(docs.sparkSession, p.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()
         task, row = TaskContext.get().partitionId(), 0  # the same if the task is run again
         for b in batches:
-            for at, part, _, tokens in bpe.encoded(b.column(1), p.tokens, raw_.value):
-                digests: list[bytes] = []
-                sizes: list[int] = []
-                payloads: list[bytes | None] = []
-                ends_, roots = [0], []
+            for at, part, _, tokens in bpe.encoded(b.column(1), p.tokens, file.value):
+                digests, sizes, ends_, roots = [], [], [0], []
+                new: list[tuple[bytes, int, bytes]] = []
                 for t in tokens:
                     raw, start = t.astype(kind), 0
                     for e in cuts(t, p):
@@ -105,36 +106,54 @@ def chunked(docs: DataFrame, p: Params) -> DataFrame:
                         d = digest(payload, p)
                         digests.append(d)
                         sizes.append(e - start)
-                        payloads.append(None if d in sent else payload)
-                        sent.add(d)
+                        if d not in sent:
+                            sent.add(d)
+                            new.append((d, e - start, payload))
                         start = e
                     roots.append(merkle(digests[ends_[-1] :], p.digest_bytes))
                     ends_.append(len(digests))
                 if len(sent) > p.sent:
                     sent.clear()
                 ends = pa.array(ends_, pa.int32())
-                columns = [pa.array([f"{task}-{row + k}" for k in range(len(tokens))]), b.column(0).slice(at, len(part)), pa.array([len(t) for t in tokens], pa.int32()), pa.array(np.diff(ends_), pa.int32()), pa.array(roots, pa.binary())]
-                columns += [pa.ListArray.from_arrays(ends, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(sizes, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(payloads, pa.binary()))]
+                recipe = [pa.array([f"{task}-{row + k}" for k in range(len(tokens))]), b.column(0).slice(at, len(part)), pa.array([len(t) for t in tokens], pa.int32()), pa.array(np.diff(ends_), pa.int32()), pa.array(roots, pa.binary())]
+                recipe += [pa.ListArray.from_arrays(ends, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(sizes, pa.int32()))]
                 row += len(tokens)
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_chunks", "root", "digests", "sizes", "payloads"])
+                yield _batch(dict(zip(RECIPE, recipe)), len(tokens))
+                if new:
+                    yield _batch(dict(zip(("digest", "n_ids", "payload"), (pa.array(c) for c in zip(*new)))), len(new))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), SCHEMA)
 
 
+def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in _COLUMNS.items()], names=list(_COLUMNS))
+
+
 def write(docs: DataFrame, path: str | None = None, p: Params = Params()) -> str:
     """Writes the store and returns its folder, a new one in the shared folder unless ``path`` names it."""
     path = path or new_folder(docs.sparkSession)
-    with Scratch(docs.sparkSession) as s:
-        rows = s.cut(chunked(docs, p))
-        rows.drop("payloads").write.parquet(f"{path}/recipes")
-        uses = rows.select(F.explode(F.arrays_zip("digests", "sizes", "payloads")).alias("u")).select(F.col("u.digests").alias("digest"), F.col("u.sizes").alias("n_ids"), F.col("u.payloads").alias("payload"))
-        uses.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("payload", ignorenulls=True).alias("payload"), F.count(F.lit(1)).alias("uses")).write.parquet(f"{path}/chunks")
+    rows = chunked(docs, p).dropDuplicates(["digest", "row"]).withColumn("part", F.when(F.col("digest").isNull(), "recipes").otherwise("chunks"))
+    rows.write.partitionBy("part").parquet(path)
     return path
 
 
+def recipes(spark, path: str) -> DataFrame:
+    """(row, doc_id, n_tokens, n_chunks, root, digests, sizes) of every document."""
+    return _part(spark, path, "recipes").select(RECIPE)
+
+
+def chunks(spark, path: str) -> DataFrame:
+    """(digest, n_ids, payload): the unique chunks."""
+    return _part(spark, path, "chunks").select("digest", "n_ids", "payload")
+
+
+def _part(spark, path: str, part: str) -> DataFrame:
+    return spark.read.schema(SCHEMA + ", part string").parquet(path).where(F.col("part") == part)
+
+
 def verify(spark, path: str, p: Params = Params()) -> DataFrame:
     """(doc_id, n_tokens, n_chunks, root, verified) of every row that was stored."""
-    recipes, stored = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    documents = recipes(spark, path)
     size = np.dtype(width(p)).itemsize
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +161,14 @@ def verify(spark, path: str, p: Params = Params()) -> DataFrame:
             ok = [x is not None and digest(x, p) == d and len(x) == n * size for d, n, x in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["digest", "n_ids"])
 
-    sound = stored.select("digest", "n_ids", "payload").mapInArrow(tidied(good), "digest binary, n_ids int").groupBy("digest", "n_ids").count().where("count = 1")
-    uses = recipes.select("row", F.explode(F.arrays_zip("digests", "sizes")).alias("u")).select("row", F.col("u.digests").alias("digest"), F.col("u.sizes").alias("n_ids"))
+    sound = chunks(spark, path).mapInArrow(tidied(good), "digest binary, n_ids int").groupBy("digest", "n_ids").count().where("count = 1")
+    uses = documents.select("row", F.explode(F.arrays_zip("digests", "sizes")).alias("u")).select("row", F.col("u.digests").alias("digest"), F.col("u.sizes").alias("n_ids"))
     wrong = cut(uses.select("digest", "n_ids").distinct().join(sound, ["digest", "n_ids"], "left_anti"))
     if wrong.isEmpty():
-        recipes = recipes.withColumn("bad", F.lit(False))
+        documents = documents.withColumn("bad", F.lit(False))
     else:
         bad = uses.join(wrong, ["digest", "n_ids"], "left_semi").select("row").distinct().withColumn("bad", F.lit(True))
-        recipes = recipes.join(bad, "row", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+        documents = documents.join(bad, "row", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,20 +176,15 @@ def verify(spark, path: str, p: Params = Params()) -> DataFrame:
             ok = [not x and len(d) == n and sum(k) == t and merkle(d, p.digest_bytes) == root for t, n, root, d, k, x in zip(tokens, chunks_, roots, digests, sizes, bads)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.hex() for r in roots], pa.string()), pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "n_chunks", "root", "verified"])
 
-    return recipes.select("doc_id", "n_tokens", "n_chunks", "root", "digests", "sizes", "bad").mapInArrow(tidied(check), "doc_id long, n_tokens int, n_chunks int, root string, verified boolean")
-
-
-def chunks(spark, path: str) -> DataFrame:
-    """(digest, n_ids, payload): the unique chunks."""
-    return spark.read.parquet(f"{path}/chunks").select("digest", "n_ids", "payload")
+    return documents.select("doc_id", "n_tokens", "n_chunks", "root", "digests", "sizes", "bad").mapInArrow(tidied(check), "doc_id long, n_tokens int, n_chunks int, root string, verified boolean")
 
 
 def reconstruct(spark, path: str, p: Params = Params()) -> DataFrame:
     """(doc_id, tokens) of every row that was stored, from recipes and chunks. Chunks that very many documents use are broadcast to their uses."""
     kind = np.dtype(width(p)).newbyteorder("<")
-    recipes = spark.read.parquet(f"{path}/recipes").select("row", "doc_id", "digests")
-    uses = recipes.select("row", "doc_id", F.posexplode_outer("digests").alias("ordinal", "digest"))
-    held = by_key(uses.where("digest is not null"), spark.read.parquet(f"{path}/chunks").drop("n_ids"), "digest", "uses", most=100_000).select("row", "doc_id", "ordinal", "payload")
+    uses = recipes(spark, path).select("row", "doc_id", F.posexplode_outer("digests").alias("ordinal", "digest"))
+    n = cut(uses.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    held = by_key(uses.where("digest is not null"), chunks(spark, path).select("digest", "payload").join(n, "digest"), "digest", most=100_000).select("row", "doc_id", "ordinal", "payload")
     empty = uses.where("digest is null").select("row", "doc_id", F.lit(0).alias("ordinal"), F.lit(b"").alias("payload"))
     parts = held.unionByName(empty).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "payload"))).alias("parts"))
 

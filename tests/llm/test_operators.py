@@ -77,14 +77,14 @@ def test_store_round_trip(spark, docs):
     for r in docs.collect():
         assert tokens[r["doc_id"]] == b.enc.encode_ordinary(r["text"])
     chunks = store.chunks(spark, path).collect()
-    uses = spark.read.parquet(f"{path}/recipes").select(F.explode("digests").alias("digest"))
+    uses = store.recipes(spark, path).select(F.explode("digests").alias("digest"))
     assert len({bytes(c["digest"]) for c in chunks}) == len(chunks) == uses.distinct().count() < uses.count()
 
 
 @pytest.mark.parametrize("damage", ["payload", "size", "lost"])
 def test_damage_is_found(spark, docs, damage):
     path = store.write(docs.limit(20))
-    recipes, stored = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    recipes, stored = store.recipes(spark, path), store.chunks(spark, path)
     rows = [r.asDict() for r in stored.orderBy("digest").collect()]
     hit = rows[len(rows) // 2]["digest"]
     users = {r["doc_id"] for r in recipes.collect() if hit in r["digests"]}
@@ -95,8 +95,8 @@ def test_damage_is_found(spark, docs, damage):
     else:
         rows = [r for r in rows if r["digest"] != hit]
     other = path + "-damaged"
-    recipes.write.parquet(f"{other}/recipes")
-    spark.createDataFrame(rows, stored.schema).write.parquet(f"{other}/chunks")
+    recipes.write.parquet(f"{other}/part=recipes")
+    spark.createDataFrame(rows, stored.schema).write.parquet(f"{other}/part=chunks")
     assert users and {r["doc_id"] for r in store.verify(spark, other).collect() if not r["verified"]} == users
 
 
