@@ -1,4 +1,5 @@
-"""Stemmers by configuration. ``simple`` leaves words as they are; ``english`` is the published Porter2 algorithm; others can be registered."""
+"""Stemmers by configuration. ``simple`` leaves words as they are; ``english`` is the published Porter2 algorithm, ``german``, ``french`` and ``spanish`` are in ``stem_other``; for others
+(Italian, Portuguese, Romanian, Arabic) none is built in: they are as ``simple`` until one is registered."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+from . import stem_other
+
 ENGLISH_STOP = frozenset(
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
 )
@@ -101,7 +104,13 @@ def english(word: str) -> str:
 
 
 #: configuration -> (stemmer, stop words)
-STEMMERS: dict[str, tuple[Callable[[str], str], frozenset[str]]] = {"simple": (lambda w: w, frozenset()), "english": (english, ENGLISH_STOP)}
+STEMMERS: dict[str, tuple[Callable[[str], str], frozenset[str]]] = {
+    "simple": (lambda w: w, frozenset()),
+    "english": (english, ENGLISH_STOP),
+    "german": (stem_other.german, stem_other.GERMAN_STOP),
+    "french": (stem_other.french, stem_other.FRENCH_STOP),
+    "spanish": (stem_other.spanish, stem_other.SPANISH_STOP),
+}
 
 
 def register(config: str, stemmer: Callable[[str], str], stop_words: frozenset[str] = frozenset()) -> None:

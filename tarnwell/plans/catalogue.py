@@ -402,12 +402,14 @@ _FOLDED = (("ar", "سِيَاسَة الإرجاع"), ("ar-SA", "على ٣٤ م
 
 @_register(
     "normalize_arabic_thai",
-    "SELECT language, CASE WHEN language LIKE 'ar%' THEN nfc_normalize(translate(regexp_replace(nfc_normalize(text), '[\\x{64b}-\\x{65f}\\x{670}\\x{640}\\x{200c}\\x{200d}]', '', 'g'), 'آأإٱ٠١٢٣٤٥٦٧٨٩ىة', 'اااا0123456789يه')) "
-    "WHEN language = 'th' THEN translate(nfc_normalize(text), '๐๑๒๓๔๕๖๗๘๙', '0123456789') ELSE nfc_normalize(text) END AS text FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FOLDED) + ") t(language, text)",
+    "SELECT id, language, md5(CASE WHEN language LIKE 'ar%' THEN nfc_normalize(translate(regexp_replace(nfc_normalize(text), '[\\x{64b}-\\x{65f}\\x{670}\\x{640}\\x{200c}\\x{200d}]', '', 'g'), 'آأإٱ٠١٢٣٤٥٦٧٨٩ىة', 'اااا0123456789يه')) "
+    "WHEN language = 'th' THEN translate(nfc_normalize(text), '๐๑๒๓๔๕๖๗๘๙', '0123456789') ELSE nfc_normalize(text) END) AS digest FROM (SELECT doc_id AS id, lang AS language, text FROM documents UNION ALL VALUES " + ", ".join(f"({-1 - k}, '{a}', '{b}')" for k, (a, b) in enumerate(_FOLDED)) + ")",
 )
 def normalize_arabic_thai(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(list(_FOLDED), "language string, text string")
-    return df.select("language", X.normalize_for(F.col("text"), F.col("language")).alias("text"))
+    """All documents, and texts of the languages that they lack."""
+    docs = spread(_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), "text")
+    more = spark.createDataFrame([(-1 - k, a, b) for k, (a, b) in enumerate(_FOLDED)], "id long, language string, text string")
+    return docs.unionByName(more).select("id", "language", F.md5(X.normalize_for(F.col("text"), F.col("language"))).alias("digest"))
 
 
 _CLEAN = r"array_to_string(list_filter([regexp_replace(w, '[!\"''\).,:;?\]}”’…،؛؟।॥ฯๆ、。！，：；？]+$', '') FOR w IN regexp_split_to_array(lower(text), '\s+')], lambda w: w <> ''), ' ')"
@@ -423,9 +425,10 @@ def remove_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select("item_id", X.remove_stop_words(F.col("text"), F.array(*map(F.lit, STOP))).alias("text"))
 
 
-@_register("stop_word_sets", "SELECT language, list_sort(list(DISTINCT lower(word))) AS words FROM (VALUES ('en', 'The'), ('en', 'the'), ('en', 'of'), ('de', 'Und')) t(language, word) GROUP BY language")
+@_register("stop_word_sets", "SELECT lang AS language, list_sort(list(DISTINCT lower(split_part(text, ' ', 1)))) AS words FROM documents GROUP BY lang")
 def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stop_word_sets(spark.createDataFrame([("en", "The"), ("en", "the"), ("en", "of"), ("de", "Und")], "language string, word string"))
+    """The first words of all documents, as a list of stop words for each language."""
+    return stop_word_sets(_table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.split_part("text", F.lit(" "), F.lit(1)).alias("word")))
 
 
 @_register("synonym_lookup", "SELECT * FROM (VALUES ('en', 'license', 'permit|licence'), ('en', 'permit', 'license'), ('en', 'licence', 'license'), ('en', 'hand', 'palm|fist'), ('en', 'token', 'key|secret key'), ('en', 'key', 'token'), ('en', 'secret key', 'token')) t(language, term, synonyms)")
@@ -442,11 +445,21 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, expanded string, fts string, bm25 string")
 
 
-@_register("script_functions", "SELECT * FROM (VALUES ('ใช้ 5G โรมมิ่ง', 0.909091::DOUBLE, true, true), ('abc อ', 0.25, false, true), ('ราคา', 1.0, true, false), ('', 0.0, false, false)) t(text, ratio, thai, borrowed)")
+_THAI, _LATIN = (f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for c in ("\\x{e01}-\\x{e4e}", "A-Za-z"))
+_MIXED = ("ใช้ 5G โรมมิ่ง", "abc อ", "ราคา", "", "มีซิมเน็ต")
+
+
+@_register(
+    "script_functions",
+    f"SELECT id, CASE WHEN {_THAI} + {_LATIN} = 0 THEN 0 ELSE round({_THAI} / ({_THAI} + {_LATIN}), 6) END AS ratio, CASE WHEN {_THAI} + {_LATIN} = 0 THEN false ELSE {_THAI} / ({_THAI} + {_LATIN}) >= 0.5 END AS thai, "
+    f"regexp_matches(text, '[A-Za-z]([A-Za-z]|[0-9])|[0-9][A-Za-z]') OR len(list_filter([{', '.join(repr(w) for w in X._BORROWED)}], lambda w: contains(text, w))) > 0 AS borrowed "
+    "FROM (SELECT doc_id AS id, text FROM documents UNION ALL VALUES " + ", ".join(f"({-1 - k}, '{t}')" for k, t in enumerate(_MIXED)) + ")",
+)
 def script_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([("ใช้ 5G โรมมิ่ง",), ("abc อ",), ("ราคา",), ("",)], "text string")
+    """All documents, and some texts of mixed scripts."""
+    more = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(_MIXED)], "id long, text string")
     t = F.col("text")
-    return df.select("text", F.round(X.script_ratio(t, "thai"), 6).alias("ratio"), X.dominant(t, "thai").alias("thai"), X.loanword_heavy(t).alias("borrowed"))
+    return spread(_table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text").unionByName(more).select("id", F.round(X.script_ratio(t, "thai"), 6).alias("ratio"), X.dominant(t, "thai").alias("thai"), X.loanword_heavy(t).alias("borrowed"))
 
 
 @_register("chunk_documents")

@@ -140,3 +140,20 @@ def test_recommendations():
     assert L.recommend("ar-SA").needs_normalization and L.recommend("zh-TW").is_cjk and not L.recommend("en").is_cjk
     assert L.fts_config("en-GB") == "simple" and L.bm25_group("ar") == "simple" and L.bm25_index("es-MX") == "bm25_es" and L.bm25_index("th") == "bm25_simple"
     assert (L.char_limit("th", 512), L.char_limit("zh-TW", 512), L.char_limit("xx", 512), L.char_limit(None, 512)) == (768, 614, 512, 512)
+
+
+def test_other_stemmers():
+    """Pairs of the sample vocabularies that were published with the descriptions."""
+    from tarnwell.functions import stem
+
+    pairs = {
+        "german": "aufeinanderfolge aufeinanderfolg aufeinander aufeinand kategorien kategori kategorischen kategor auffällig auffall aufenthalt aufenthalt auferlegten auferlegt häuser haus ärgernisse argernis kater kat katholischen kathol",
+        "french": "continu continu continua continu continuait continu continuation continu continuel continuel continuelle continuel continuellement continuel contractés contract contradictoirement contradictoir contrainte contraint majestueusement majestu majestueux majestu majeur majeur mains main maintenir mainten maison maison",
+        "spanish": "cheque chequ chequeo cheque chevere chever chica chic chicago chicag chicharrones chicharron chiapaneca chiapanec tórax torax torcer torc toreado tor toreo tore torneado torn informaciones inform rápidamente rapid",
+    }
+    for config, words in pairs.items():
+        stemmer, stop = stem.of(config)
+        words = words.split()
+        assert {w: stemmer(w) for w in words[::2]} == dict(zip(words[::2], words[1::2])) and len(stop) > 100
+        for odd in ("", "a", "y", "qu", "ss", "é", "nos", "ement", "ungung"):
+            assert isinstance(stemmer(odd), str)
