@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.llm import bpe, decontam, minhash, pii, toxicity
 from tarnwell.llm.spill import remove, shared_dir
+from tarnwell.sources.shared import spread
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Documents without text, or without words, pass every stage (null tokens for a null text, none for an empty one); rows without doc_id are never taken for copies; rows that
     share a doc_id stay or go together where copies are dropped, and are judged by their own text elsewhere; further columns, whatever their names, are carried along
     until the last stage, and of an empty table nothing comes out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for k, (name, stage) in enumerate(STAGES):
