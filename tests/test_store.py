@@ -129,7 +129,7 @@ def test_legs_from_postings(spark, store):
     store.insert(texts.select(F.lit("a").alias("tenant_id"), F.lit("d").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.col("lang").alias("language")))
     store.delete_source("a", "d", "3")
     docs = store.scan("a").persist()
-    q = spark.createDataFrame([(1, "released under the license", "en"), (2, "der die und", "en"), (3, None, "en"), (4, "", "en")], "query_id int, text string, language string")
+    q = spark.createDataFrame([(1, "released under the license", "en"), (2, "license", "en"), (5, "token", "en"), (3, None, "en"), (4, "", "en")], "query_id int, text string, language string")
     built = q.select("query_id", "text", F.lit(None).cast("string").alias("built"), F.lit("english").alias("config"))
     same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) and x.count() > 0
     assert same(legs.bigram_posted(store.index("bigram", "a"), q, 20), legs.bigram(docs, q, 20))
