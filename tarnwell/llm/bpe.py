@@ -44,7 +44,7 @@ class Params:
     pattern: str = PATTERN  # the cuts above are proven for this pattern
     leaf_chars: int = 4096
     window_chars: int = 16  # the first window on each side of a seam
-    slice_chars: int = 1 << 19
+    slice_chars: int = 1 << 18
     memo: int = 150_000
 
 

@@ -32,7 +32,7 @@ SCHEMA = "doc_id long, item_id long, match_words int, doc_word long, item_word i
 class Params:
     min_words: int = 13
     least_item: int = 8
-    block_words: int = 700_000  # words of one suffix array; a longer document makes a longer one
+    block_words: int = 350_000  # words of one suffix array; a longer document makes a longer one
     broadcast_chars: int = 64_000_000  # benchmark text that goes to executors at once; a larger benchmark takes several passes
 
 
