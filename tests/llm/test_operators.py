@@ -81,6 +81,26 @@ def test_store_round_trip(spark, docs):
     assert len({bytes(c["digest"]) for c in chunks}) == len(chunks) == uses.distinct().count() < uses.count()
 
 
+def test_store_tokenises_at_the_cost_of_one_call_a_text():
+    rng = np.random.default_rng(3)
+    b, p = bpe.bpe(bpe.Params()), bpe.Params(slice_chars=1 << 14)
+    made = np.array(list("aeiounrst"))[rng.integers(9, size=(300_000, 9))].view("U9").reshape(-1, 300)  # more words than the encoder remembers, hardly one of them twice
+    texts = [" ".join(x) for x in made.tolist()]
+    odd = [None, "", "  two\n\n", "a word and more " * 3000, "中" * 20_000 + "x"]  # the last two are longer than a slice
+    rows = pa.array(texts[:20] + odd + texts[20:40])
+    got = [t for _, _, tokens in store.tokenised(rows, p) for t in tokens]
+    assert [t.tolist() for t in got] == [b.enc.encode_ordinary(t or "") for t in rows.to_pylist()]
+
+    def seconds(run):
+        at = time.process_time()
+        run()
+        return time.process_time() - at
+
+    one_call = lambda: [np.array(b.enc.encode_ordinary(t), dtype=np.int32) for t in texts]
+    whole = lambda: list(store.tokenised(pa.array(texts), bpe.Params()))
+    assert min(seconds(whole) for _ in range(3)) < 2 * min(seconds(one_call) for _ in range(3))
+
+
 @pytest.mark.parametrize("damage", ["payload", "size", "lost"])
 def test_damage_is_found(spark, docs, damage):
     path = store.write(docs.limit(20))
