@@ -123,19 +123,35 @@ def vector(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.
     return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
 
 
+def _by_dimension(rows: list[Row]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, vectors) of the queries of each dimension; those without a vector, or with a null in it, are left out."""
+    dims: dict[int, tuple[list, list]] = {}
+    for n, r in enumerate(rows):
+        v = r["embedding"]
+        if v is not None and len(v) and None not in v:
+            numbers, vectors = dims.setdefault(len(v), ([], []))
+            numbers.append(n)
+            vectors.append(v)
+    return [(np.array(numbers), np.array(vectors, dtype=np.float64)) for numbers, vectors in dims.values()]
+
+
+def _nearest(best: stream.Best, numbers: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int | None, floor: float, block: int) -> None:
+    """Adds the best rows of unit vectors x for each of the unit vectors q, by matrix products of ``block`` of both at a time."""
+    for at in range(0, len(x), block):
+        for first in range(0, len(q), block):
+            with np.errstate(all="ignore"):
+                s = half_up(q[first : first + block] @ x[at : at + block].T)
+            s[~np.isfinite(s)] = -np.inf
+            if k is not None and s.shape[1] > k:  # ties at the edge stay in
+                edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                s[s < edge[:, None]] = -np.inf
+            i, j = np.nonzero(s >= floor)
+            best.add(numbers[first + i], ids[at + j], s[i, j])
+
+
 def vector_batch(docs: DataFrame, queries: DataFrame, k: int | None, floor: float = 0.8, at_once: int = 20_000, block: int = 1024) -> DataFrame:
     """The same for many queries: matrix products of ``block`` queries and documents at a time."""
 
-    def prepare(rows: list[Row]) -> list:
-        dims: dict[int, tuple[list, list]] = {}
-        for n, r in enumerate(rows):
-            v = r["embedding"]
-            if v is not None and len(v) and None not in v:
-                numbers, vectors = dims.setdefault(len(v), ([], []))
-                numbers.append(n)
-                vectors.append(v)
-        return [(np.array(numbers), np.array(vectors, dtype=np.float64)) for numbers, vectors in dims.values()]
-
     def look(asked: list) -> Look:
         with np.errstate(all="ignore"):
             by_dim = {v.shape[1]: (numbers, v / np.linalg.norm(v, axis=1)[:, None]) for numbers, v in asked}
@@ -147,20 +163,11 @@ def vector_batch(docs: DataFrame, queries: DataFrame, k: int | None, floor: floa
                 numbers, q = by_dim[x.shape[1]]
                 with np.errstate(all="ignore"):
                     x = x / np.linalg.norm(x, axis=1)[:, None]
-                for at in range(0, len(x), block):
-                    for first in range(0, len(q), block):
-                        with np.errstate(all="ignore"):
-                            s = half_up(q[first : first + block] @ x[at : at + block].T)
-                        s[~np.isfinite(s)] = -np.inf
-                        if k is not None and s.shape[1] > k:  # ties at the edge stay in
-                            edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                            s[s < edge[:, None]] = -np.inf
-                        i, j = np.nonzero(s >= floor)
-                        best.add(numbers[first + i], ids[rows[at + j]], s[i, j])
+                _nearest(best, numbers, q, ids[rows], x, k, floor, block)
 
         return seek
 
-    return scanned(docs, ["embedding"], queries, ["embedding"], at_once, prepare, look, VECTOR, k)
+    return scanned(docs, ["embedding"], queries, ["embedding"], at_once, _by_dimension, look, VECTOR, k)
 
 
 def vector_coded(index: DataFrame, docs: DataFrame, queries: DataFrame, k: int, floor: float = 0.8, pool: int = 10, at_once: int = 20_000, block: int = 1024) -> DataFrame:
@@ -211,13 +218,37 @@ def cells(docs: DataFrame, n: int, seed: int = 1, fit_rows: int = 200_000) -> tu
     return model.transform(docs.withColumn("_f", array_to_vector(_double(F.col("embedding"))))).drop("_f"), [c.tolist() for c in model.clusterCenters()]
 
 
-def vector_probed(celled: DataFrame, centres: list[list[float]], queries: DataFrame, k: int, floor: float, probes: int) -> DataFrame:
-    """Approximate: only documents in the ``probes`` cells nearest to a query are compared with it."""
-    spark = queries.sparkSession
-    near = queries.crossJoin(F.broadcast(spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cell int, centre array<double>")))
-    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(cosine(F.col("embedding"), F.col("centre"))), "cell"))).where(F.col("_n") <= probes)
-    pairs = celled.select("id", "cell", "embedding").join(small(near.select("query_id", "cell", F.col("embedding").alias("_q"))), "cell")
-    return ranked(pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.round("score", 6) >= floor), VECTOR, k)
+def vector_probed(celled: DataFrame, centres: list[list[float]], queries: DataFrame, k: int, floor: float, probes: int, at_once: int = 20_000, block: int = 1024) -> DataFrame:
+    """Approximate: only documents in the ``probes`` cells nearest to a query are compared with it, by matrix products cell by cell."""
+
+    def look(asked: list) -> Look:
+        middle = np.array(centres, dtype=np.float64)
+        by_dim: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        with np.errstate(all="ignore"):
+            middle = middle / np.linalg.norm(middle, axis=1)[:, None]
+            for numbers, v in asked:
+                q = v / np.linalg.norm(v, axis=1)[:, None]
+                if q.shape[1] != middle.shape[1]:
+                    continue  # no document of another dimension has a cell
+                near = np.argsort(-(q @ middle.T), axis=1, kind="stable")[:, :probes]
+                probed = np.zeros((len(q), len(middle)), dtype=bool)
+                np.put_along_axis(probed, near, True, axis=1)
+                by_dim[q.shape[1]] = [(numbers[own], q[own]) for own in probed.T]
+
+        def seek(b: pa.RecordBatch, ids: np.ndarray, best: stream.Best) -> None:
+            cell = b.column(2).to_numpy()
+            for rows, x in stream.matrices(b.column(1)):
+                if x.shape[1] not in by_dim:
+                    continue
+                with np.errstate(all="ignore"):
+                    x = x / np.linalg.norm(x, axis=1)[:, None]
+                for c in np.unique(cell[rows]).tolist():
+                    own = np.flatnonzero(cell[rows] == c)
+                    _nearest(best, *by_dim[x.shape[1]][c], ids[rows[own]], x[own], k, floor, block)
+
+        return seek
+
+    return scanned(celled, ["embedding", "cell"], queries, ["embedding"], at_once, _by_dimension, look, VECTOR, k)
 
 
 def _grams_of(rows: list[Row], of: Callable[[str], np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:

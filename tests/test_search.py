@@ -229,3 +229,24 @@ def test_search_tells_what_it_does(spark, docs):
     got = search(docs, q, SearchOptions(language="en", text_search=First(), vector_min_score=2.0, keyword_min_score=2.0, eager=True), tracer=Said())
     assert [r["id"] for r in got.collect()] == [1]
     assert [x for x in said if isinstance(x, str)] == ["search", "prepare", "legs", "fuse"] and ("text_search", "First") in said and ("language", "en") in said
+
+
+def test_probed_search_makes_no_rows_of_pairs(spark):
+    """What the expression finds in the probed cells, by products: no join of documents with queries."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(200, 8)))], "id long, embedding array<double>")
+    asked = [*rng.normal(size=(30, 8)).tolist(), [0.0] * 8, [1.0, 2.0]]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, embedding array<double>")
+    celled, centres = legs.cells(docs, 5)
+    found = legs.vector_probed(celled, centres, q, 6, 0.1, 2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = [(r["id"], r["cell"], unit(np.array(r["embedding"]))) for r in celled.collect()]
+    want = set()
+    for n, v in enumerate(asked[:30]):
+        near = np.argsort([-unit(np.array(c)) @ unit(np.array(v)) for c in centres], kind="stable")[:2]
+        scored = sorted((-round(float(x @ unit(np.array(v))), 6), i) for i, c, x in rows if c in near)
+        want |= {(n, i, -s) for s, i in scored[:6] if -s >= 0.1}
+    assert {(r["query_id"], r["id"], r["score"]) for r in found.collect()} == want
