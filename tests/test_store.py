@@ -230,3 +230,20 @@ def test_judge_and_word_list(spark):
     assert s.segment("ราคากิมาก", "th") == "ราคา กิ มาก"
     syn = spark.createDataFrame([("a", "en", "TV", '["Television"]', "two_way")], "tenant_id string, language string, term string, synonyms string, direction string")
     assert P.synonym_lookup(syn, lambda w, lang: w[:3]).get("a") == {"en": {"tv": ["tel"], "tel": ["tv"]}}
+
+
+def test_postings_are_built_without_a_shuffle(spark):
+    from tarnwell.sources import postings
+    from tarnwell.sources.store import _stored
+
+    rows = spark.createDataFrame([(str(k), "a", "s", str(k), "0", t, None, "en", None, "{}", None, 1, "english", "english", n) for k, (t, n) in enumerate([("The hand of the other Hand", 6), ("", 0), ("a b a", 3), ("ÄÖ ß 1", 3)])], _stored())
+    for kind in ("trigram", "bigram", "term", "lexeme"):
+        built = postings.build(kind, rows)
+        assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString(), kind
+        column = {"term": "term", "lexeme": "lexeme"}.get(kind, "gram")
+        for part in built.select(column).rdd.glom().collect():
+            assert part == sorted(part)
+    got = {(r["id"], r["term"], r["tf"], r["len"]) for r in postings.build("term", rows).collect()}
+    assert got == {("0", "the", 2, 6), ("0", "hand", 2, 6), ("0", "of", 1, 6), ("0", "other", 1, 6), ("2", "a", 2, 3), ("2", "b", 1, 3), ("3", "äö", 1, 3), ("3", "ß", 1, 3), ("3", "1", 1, 3)}
+    grams = {(r["id"], r["gram"]) for r in postings.build("bigram", rows).where("id = 2").collect()}
+    assert grams == {("2", ord(x) << 21 | ord(y)) for x, y in zip(" a b a", "a b a ")}
