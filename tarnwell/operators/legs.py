@@ -554,6 +554,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.2, b:
 def bm25_posted(postings: DataFrame, rows: DataFrame, queries: DataFrame, k: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``bm25`` from stored postings (grp, term, id, tf, len) and, for the statistics, the store's rows (fts_group, n_terms); no text is read."""
     stats = rows.where("n_terms > 0").groupBy(F.col("fts_group").alias("grp")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avg_len"))
+    words = [r["w"] for r in queries.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w")).distinct().limit(1001).collect()]
+    postings = postings.where(F.col("term").isin(words)) if len(words) <= 1000 else postings  # those of other words aren't read
     return _bm25(stats, lambda wanted: postings.select("grp", "id", "len", "term", "tf").join(wanted, ["grp", "term"], "left_semi"), queries, k, k1, b)
 
 
