@@ -68,3 +68,15 @@ def test_recurring_lines(spark):
     assert kept == {("d", 1): "one สวัสดี\n", ("d", 2): "สองสองสอง", ("d", 3): "สาม", ("e", 1): "Head\nHead"}
     clean = {r["doc"]: r["text"] for r in cleaning.clean_documents(pages, "thai").collect()}
     assert clean == {"d": "one สวัสดี\nสองสองสอง\nสาม", "e": ""}
+
+
+def test_frame_is_cut_in_slices_of_arrow_batches(spark):
+    """Slices of a bounded size instead of a batch of whole texts as objects; chunks as one by one."""
+    from tarnwell.operators.chunker import Chunker, chunk_frame
+
+    texts = ["One sentence here. " * 9000, None, "", "ß. Ü? " * 60000, "short"]
+    docs = spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "id int, text string, language string").coalesce(1)
+    made = chunk_frame(docs, Chunker(token_limit=256))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    want = [(k, n, c) for k, t in enumerate(texts) if t for n, c in enumerate(Chunker(token_limit=256).chunk(t, {"language": "en"} if k % 2 else {}))]
+    assert sorted(map(tuple, made.collect())) == want
